@@ -5,10 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from curralis.llm import exact_dedup, near_dedup, packing, quality, sentencepiece_codec, sharding, topk, warc
+from curralis.llm import exact_dedup, near_dedup, packing, pii, quality, sentencepiece_codec, sharding, topk, warc
 from curralis.llm.common import table
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
+#: Key of the registered query only; callers of the operator pass their own secret.
+PII_KEY = "registered-query"
 
 
 def op1_warc(spark, sf_dir):
@@ -19,6 +21,10 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark, sf_dir):
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "text", "n_entities")
+
+
 def op4_sharding(spark, sf_dir):
     placed, _ = sharding.shard(table(spark, sf_dir, "documents"), 40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
@@ -49,7 +55,7 @@ def op10_quality(spark, sf_dir):
     return model.score(docs.select("doc_id", "text")).select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_exact_dedup, op4_sharding, op5_topk, op6_near_dedup, op8_packing, op9_sentencepiece, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_exact_dedup, op3_pii, op4_sharding, op5_topk, op6_near_dedup, op8_packing, op9_sentencepiece, op10_quality)}
 
 ORACLES = {
     "op5_topk": """
