@@ -182,19 +182,21 @@ def surrogate_table(entities: DataFrame, key: str, most: int = 40) -> DataFrame:
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """docs with the text's entities replaced, and their number n_entities."""
     docs = docs.drop("n_entities")
-    columns = docs.columns
     matches = F.regexp_extract_all("text", F.lit(COMBINED), F.lit(0))
     found = F.when(F.col("text").rlike(HINT), matches).otherwise(F.array().cast("array<string>"))
     has = F.coalesce(F.size(found), F.lit(0)) > 0
-    clean = docs.filter(~has | F.col("text").isNull()).select(*columns, F.lit(0).cast("long").alias("n_entities"))
-    dirty = docs.filter(has).withColumn("_key", F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"), 256))
-    mentions = dirty.select("_key", F.posexplode(matches).alias("pos", "mention")).distinct()
+    clean = docs.filter(~has | F.col("text").isNull()).withColumn("n_entities", F.lit(0).cast("long"))
+    # the row is wrapped, so that no column of its own can clash with the names used here
+    key_ = F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"), 256)
+    dirty = docs.filter(has).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key_.alias("key"), F.col("text").alias("old"))
+    mentions = docs.filter(has).select(key_.alias("key"), F.posexplode(matches).alias("pos", "mention")).distinct()
     kind = _type(F.col("mention"))
     mentions = written(mentions.withColumn("kind", kind).withColumn("norm", _norm(F.col("kind"), F.col("mention"))), "mentions")
     table = surrogate_table(mentions.select("kind", "norm").distinct(), key)
-    placed = mentions.join(table, ["kind", "norm"]).select("_key", F.struct("pos", _rendered(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("out")).alias("at"))
-    by_doc = placed.groupBy("_key").agg(F.transform(F.sort_array(F.collect_list("at")), lambda x: x["out"]).alias("_out"))
-    parts = F.split("text", COMBINED, -1)
-    text = F.array_join(F.zip_with(parts, F.concat("_out", F.array(F.lit(""))), lambda p, o: F.concat(p, o)), "")
-    dirty = dirty.join(by_doc, "_key").withColumn("text", text).withColumn("n_entities", F.size("_out").cast("long"))
-    return clean.unionByName(dirty.select(*columns, "n_entities"))
+    placed = mentions.join(table, ["kind", "norm"]).select("key", F.struct("pos", _rendered(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("out")).alias("at"))
+    by_doc = placed.groupBy("key").agg(F.transform(F.sort_array(F.collect_list("at")), lambda x: x["out"]).alias("out"))
+    parts = F.split("old", COMBINED, -1)
+    text = F.array_join(F.zip_with(parts, F.concat("out", F.array(F.lit(""))), lambda p, o: F.concat(p, o)), "")
+    done = dirty.join(by_doc, "key").select("row", text.alias("new"), F.size("out").cast("long").alias("n"))
+    own = [F.col("new").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return clean.unionByName(done.select(*own, F.col("n").alias("n_entities")))

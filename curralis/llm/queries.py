@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from curralis.llm import exact_dedup, near_dedup, packing, pii, quality, sentencepiece_codec, sharding, topk, warc
+from curralis.llm import exact_dedup, line_dedup, near_dedup, packing, pii, quality, sentencepiece_codec, sharding, topk, warc
 from curralis.llm.common import table
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -39,6 +39,10 @@ def op6_near_dedup(spark, sf_dir):
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), width=3, num=85)
 
 
+def op7_line_dedup(spark, sf_dir):
+    return line_dedup.drop_repeated_chunks(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed")
+
+
 def op8_packing(spark, sf_dir):
     packed, _ = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
     return packed
@@ -55,7 +59,7 @@ def op10_quality(spark, sf_dir):
     return model.score(docs.select("doc_id", "text")).select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_exact_dedup, op3_pii, op4_sharding, op5_topk, op6_near_dedup, op8_packing, op9_sentencepiece, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_exact_dedup, op3_pii, op4_sharding, op5_topk, op6_near_dedup, op7_line_dedup, op8_packing, op9_sentencepiece, op10_quality)}
 
 ORACLES = {
     "op5_topk": """
