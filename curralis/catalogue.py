@@ -1,10 +1,433 @@
-"""Registry of the engine's queries and of the SQL each is held against."""
+"""Registry of the engine's queries, over whole tables, and of the DuckDB SQL each is held against."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from curralis.functions.text import fold, normalize_label, tokens
+from curralis.operators import audit, components, evaluate, linking, merge, navigation, readings, runs, validate
+from curralis.operators.closure import bfs, partonomy, reversed_edges
+from curralis.plans import dirty
+from curralis.plans.oracles import ORACLES  # noqa: F401
+from curralis.schema import MAX_RESULTS  # noqa: F401
+from curralis.sources.star import graph, tables
+
 QUERIES: dict = {}
-ORACLES: dict = {}
 
 
-def entry(spark, sf_dir):
-    raise NotImplementedError
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nav_course_prerequisites(spark, sf_dir)
+
+
+def _starts(g, label: str) -> DataFrame:
+    return g.of(label).select(F.col("key").alias("root"))
+
+
+@query
+def nav_concept_prerequisites(spark, sf_dir):
+    return navigation.concept_prerequisites(graph(spark, sf_dir))
+
+
+@query
+def nav_course_prerequisites(spark, sf_dir):
+    return navigation.course_prerequisites(graph(spark, sf_dir))
+
+
+@query
+def nav_location(spark, sf_dir):
+    return navigation.element_location(graph(spark, sf_dir))
+
+
+@query
+def nav_resources(spark, sf_dir):
+    return navigation.element_resources(graph(spark, sf_dir))
+
+
+@query
+def nav_path_topic(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return navigation.learning_path(g, "topic", labels=("Topic",))
+
+
+@query
+def nav_path_area(spark, sf_dir):
+    return navigation.learning_path(graph(spark, sf_dir), "area", labels=("KnowledgeUnit",))
+
+
+@query
+def nav_path_course(spark, sf_dir):
+    return navigation.learning_path(graph(spark, sf_dir), "course", labels=("Course",))
+
+
+@query
+def nav_specializations(spark, sf_dir):
+    return navigation.concept_specializations(graph(spark, sf_dir))
+
+
+@query
+def nav_detail_direct(spark, sf_dir):
+    return navigation.node_neighbours(graph(spark, sf_dir))
+
+
+@query
+def nav_detail_second(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return navigation.second_ring(g, navigation.node_neighbours(g))
+
+
+@query
+def nav_more_neighbors(spark, sf_dir):
+    return navigation.node_detail(graph(spark, sf_dir)).drop("description")
+
+
+@query
+def nav_overview(spark, sf_dir):
+    return navigation.overview(graph(spark, sf_dir))
+
+
+@query
+def nav_search(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    asked = g.of("Concept").select(F.substring(F.substring_index("name_es", " ", 1), 1, 3).alias("query")).distinct().union(spark.createDataFrame([("the Supplier",), ("reg WID",), ("",), ("zz top",)], "query string"))
+    return navigation.search(g, asked)
+
+
+@query
+def closure_all_roots(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return bfs(navigation.roots(g, None, "Concept"), g.links("HAS_PREREQUISITE")).groupBy("depth").agg(F.count("*").alias("pairs"))
+
+
+@query
+def closure_partonomy(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return partonomy(navigation.roots(g, None, "KnowledgeArea"), reversed_edges(g.links("PART_OF")))
+
+
+@query
+def edge_tail(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return navigation.tail_edges(g, navigation.course_prerequisites(g), navigation.KEPT["course_prerequisites"])
+
+
+@query
+def tail_sources(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return navigation.sources(g, navigation.tail_edges(g, navigation.course_prerequisites(g), navigation.KEPT["course_prerequisites"]))
+
+
+@query
+def element_counts(spark, sf_dir):
+    return navigation.element_counts(graph(spark, sf_dir))
+
+
+def _audit(rule):
+    def run(spark, sf_dir):
+        return audit.RULES[rule](dirty.raw_graph(spark, sf_dir))
+
+    return run
+
+
+QUERIES |= {f"audit_{rule.lower().replace('-', '')}": _audit(rule) for rule in audit.RULES}
+
+
+@query
+def audit_report(spark, sf_dir):
+    return audit.report(dirty.raw_graph(spark, sf_dir)).select("rule", "violations", F.array_join("sample", "; ").alias("sample"))
+
+
+@query
+def audit_of_projection(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return audit.report(audit.raw_of(g.nodes, g.edges)).select("rule", "violations")
+
+
+def _check(rule):
+    def run(spark, sf_dir):
+        nodes, edges = dirty.batch(spark, sf_dir)
+        return validate.CHECKS[rule](graph(spark, sf_dir), nodes, edges, "institutional").select("fact", "message")
+
+    return run
+
+
+QUERIES |= {f"validate_{rule.lower().replace('-', '')}": _check(rule) for rule in validate.CHECKS}
+
+
+@query
+def merge_nodes_new(spark, sf_dir):
+    nodes, _ = dirty.batch(spark, sf_dir)
+    return merge.new_nodes(graph(spark, sf_dir), nodes, "institutional").select("key", "label", "layer", "name_es")
+
+
+@query
+def merge_edges_new(spark, sf_dir):
+    nodes, edges = dirty.batch(spark, sf_dir)
+    return merge.merge(graph(spark, sf_dir), nodes, edges, "institutional", "R0")[2]
+
+
+@query
+def derive_provenance(spark, sf_dir):
+    nodes, _ = dirty.batch(spark, sf_dir)
+    return merge.derivations(merge.new_nodes(graph(spark, sf_dir), nodes, "institutional"), "R0")
+
+
+@query
+def merge_missing(spark, sf_dir):
+    g, (nodes, edges) = graph(spark, sf_dir), dirty.batch(spark, sf_dir)
+    _, fresh, added = merge.merge(g, nodes, edges, "institutional", "R0")
+    return merge.missing(g, fresh, edges, added)
+
+
+@query
+def snapshot_nodes(spark, sf_dir):
+    return merge.snapshot_nodes(graph(spark, sf_dir))
+
+
+@query
+def snapshot_edges(spark, sf_dir):
+    return merge.snapshot_edges(graph(spark, sf_dir))
+
+
+@query
+def snapshot_reference(spark, sf_dir):
+    return merge.only_reference(graph(spark, sf_dir)).edges.select("type", "source", "target")
+
+
+@query
+def snapshot_before(spark, sf_dir):
+    g, (nodes, edges) = graph(spark, sf_dir), dirty.batch(spark, sf_dir)
+    whole = merge.merge(g, nodes, edges, "institutional", "R0")[0]
+    return merge.before(whole, (g.nodes, g.edges), (nodes, whole.edges)).nodes.select("key", "label")
+
+
+@query
+def fold_text(spark, sf_dir):
+    return tables(spark, sf_dir, "documents")["documents"].select("doc_id", F.md5(fold(F.col("text"))).alias("folded"))
+
+
+@query
+def normalize_labels(spark, sf_dir):
+    found = tables(spark, sf_dir, "documents", "part")
+    return found["documents"].select("doc_id", F.md5(normalize_label(F.col("text"))).alias("norm")).union(found["part"].select(-F.col("p_partkey") - 1, F.md5(normalize_label(F.col("p_name")))))
+
+
+@query
+def tokenize_words(spark, sf_dir):
+    return tables(spark, sf_dir, "documents")["documents"].select("doc_id", F.array_join(tokens(fold(F.col("text"))), " ").alias("t")).select("doc_id", F.md5("t").alias("words"))
+
+
+@query
+def link_mentions(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    mentions = tables(spark, sf_dir, "part")["part"].select(F.lit("Concept").alias("label"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.upper("p_name"), F.lit("s"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("new-"), "p_name")).otherwise(F.col("p_name")).alias("name"))
+    return linking.link(mentions, g.nodes).select("name", "norm", "minted", "key")
+
+
+@query
+def vocabulary_refs(spark, sf_dir):
+    return linking.vocabulary(graph(spark, sf_dir).nodes).select("ref", "key")
+
+
+_STATES = ("view", "pending"), ("signup", "running"), ("click", "completed"), ("error", "rejected"), ("purchase", "failed")
+
+
+def _events(spark, sf_dir):
+    state = F.create_map(*[F.lit(x) for pair in _STATES for x in pair])
+    return tables(spark, sf_dir, "events")["events"].select(F.col("user_id").alias("run_id"), F.col("event_id").alias("ordinal"), state[F.col("event_type")].alias("state"))
+
+
+@query
+def run_latest_state(spark, sf_dir):
+    return runs.latest(_events(spark, sf_dir))
+
+
+@query
+def run_transition_violations(spark, sf_dir):
+    return runs.violations(_events(spark, sf_dir))
+
+
+@query
+def run_oldest_pending(spark, sf_dir):
+    return runs.oldest_pending(_events(spark, sf_dir))
+
+
+@query
+def run_counts(spark, sf_dir):
+    return runs.counts_by_state(_events(spark, sf_dir))
+
+
+@query
+def audit_gate(spark, sf_dir):
+    reports = tables(spark, sf_dir, "events")["events"].select(F.col("event_id").alias("report_id"), (F.col("event_type") != "error").alias("completed"), F.floor("value").cast("long").alias("violations"))
+    return runs.gate(reports)
+
+
+@query
+def replay_plan(spark, sf_dir):
+    facts = tables(spark, sf_dir, "customer")["customer"].filter("c_custkey < 400").select(F.col("c_custkey").alias("run_id"))
+    return runs.replay_plan(facts, _events(spark, sf_dir).withColumn("state", F.when(F.col("state") == "failed", "stopped_by_audit").otherwise(F.col("state"))))
+
+
+def _scored(spark, sf_dir):
+    found = tables(spark, sf_dir, "documents", "labels")
+    rows = found["documents"].join(found["labels"], "doc_id", "left")
+    proposed, must = (F.col("n_chars") > 400), F.col("quality") == 1
+    n = lambda c: F.count(F.when(c, 1))
+    return rows.groupBy("lang").agg(n(proposed & must).alias("hits"), n(proposed & F.col("quality").isNotNull()).alias("proposed"), n(proposed & must).alias("recovered"), n(must).alias("mandatory"))
+
+
+@query
+def eval_precision_recall(spark, sf_dir):
+    return evaluate.with_ratios(_scored(spark, sf_dir))
+
+
+@query
+def eval_totals(spark, sf_dir):
+    return evaluate.totals(_scored(spark, sf_dir), F.when(F.col("lang") == "en", "tuning").otherwise("held_out"))
+
+
+@query
+def eval_fusion(spark, sf_dir):
+    rows = tables(spark, sf_dir, "lineitem")["lineitem"].filter("l_linenumber = 1").select(F.col("l_suppkey").alias("node"), F.col("l_partkey").alias("global_id"))
+    return evaluate.fusion(rows)
+
+
+@query
+def eval_attempts(spark, sf_dir):
+    rows = tables(spark, sf_dir, "orders")["orders"].select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").cast("string").alias("syllabus"), (F.col("o_orderstatus") == "F").alias("accepted"))
+    return evaluate.attempts(rows)
+
+
+def _gold(spark, sf_dir):
+    return tables(spark, sf_dir, "part")["part"].select(F.col("p_brand").alias("syllabus"), F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("entry_id"), F.concat(F.lit("G"), (F.col("p_partkey") % 500).cast("string")).alias("global_id"), F.when(F.col("p_size") % 4 == 0, "tema").otherwise("concepto").alias("kind"), F.when(F.col("p_size") % 3 == 0, "aceptable").otherwise("obligatoria").alias("level"), F.col("p_name").alias("label"), F.array(F.col("p_type")).alias("aliases"))
+
+
+@query
+def eval_mandatory_notions(spark, sf_dir):
+    return evaluate.mandatory_notions(_gold(spark, sf_dir))
+
+
+@query
+def eval_gold_names(spark, sf_dir):
+    return evaluate.gold_names(_gold(spark, sf_dir))
+
+
+@query
+def eval_case_numbers(spark, sf_dir):
+    return evaluate.case_numbers(tables(spark, sf_dir, "part")["part"].select(F.col("p_partkey").alias("row_no"), F.col("p_brand").alias("syllabus")))
+
+
+@query
+def greedy_matching(spark, sf_dir):
+    items = tables(spark, sf_dir, "part")["part"].filter("p_partkey % 2 = 0").select(F.floor(F.col("p_partkey") / 200).alias("run_id"), F.col("p_brand").alias("syllabus"), F.col("p_partkey").alias("ordinal"), F.col("p_name").alias("label"), F.lit("concepto").alias("kind"))
+    return evaluate.greedy_match(items, _gold(spark, sf_dir))
+
+
+@query
+def maximum_matching(spark, sf_dir):
+    rows = tables(spark, sf_dir, "lineitem")["lineitem"].select((F.col("l_orderkey") % 500).alias("group"), F.col("l_suppkey").alias("left"), (F.col("l_partkey") % 50).alias("right"))
+    return evaluate.maximum_hits(rows)
+
+
+@query
+def review_agreement(spark, sf_dir):
+    rows = tables(spark, sf_dir, "part")["part"].select(F.col("p_brand").alias("syllabus"), F.col("p_name").alias("name"), "p_size", "p_partkey")
+    return evaluate.agreement(rows.filter("p_size % 2 = 0"), rows.filter("p_partkey % 3 = 0"))
+
+
+@query
+def label_likeness(spark, sf_dir):
+    p = tables(spark, sf_dir, "part")["part"].select("p_name", "p_brand").distinct()
+    pairs = p.select(F.col("p_name").alias("a"), "p_brand").join(p.select(F.col("p_name").alias("b"), "p_brand"), "p_brand").filter("a < b").select("a", "b").distinct()
+    return evaluate.closest(pairs)
+
+
+@query
+def connected_notions(spark, sf_dir):
+    rows = tables(spark, sf_dir, "part")["part"].select(F.col("p_partkey").alias("row_no"), F.concat("p_name", F.lit(" "), "p_size").alias("label"), F.array(F.concat("p_type", F.lit(" "), "p_brand", F.lit(" "), "p_size")).alias("aliases"))
+    return evaluate.global_ids(rows)
+
+
+@query
+def scc_members(spark, sf_dir):
+    g = dirty.raw_graph(spark, sf_dir)
+    return components.strongly_connected(g.edges.filter("type = 'HAS_PREREQUISITE'").select(F.col("src").alias("source"), F.col("dst").alias("target")))
+
+
+@query
+def nearest_rank_p95(spark, sf_dir):
+    return evaluate.latency_summary(tables(spark, sf_dir, "events")["events"].select(F.col("event_type").alias("pattern"), F.floor(F.col("value") * 10).cast("long").alias("ms")))
+
+
+@query
+def learning_order(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return readings.learning_order(g, _starts(g, "Topic"))
+
+
+@query
+def location_chains(spark, sf_dir):
+    return readings.location_chains(graph(spark, sf_dir))
+
+
+@query
+def prerequisites_by_depth(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return readings.prerequisites_by_depth(g, navigation.concept_prerequisites(g))
+
+
+@query
+def previous_courses(spark, sf_dir):
+    return readings.previous_courses(graph(spark, sf_dir))
+
+
+@query
+def path_stops(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return readings.path_stops(g, navigation.learning_path(g, "topic", labels=("Topic",)), "Topic")
+
+
+@query
+def resources_of(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return readings.resources_of(g, navigation.element_resources(g)).withColumn("parts", F.array_join("parts", ","))
+
+
+@query
+def documents_of_edges(spark, sf_dir):
+    return readings.documents_of_edges(graph(spark, sf_dir))
+
+
+@query
+def concepts_under(spark, sf_dir):
+    return readings.concepts_under(graph(spark, sf_dir))
+
+
+@query
+def neighbour_clusters(spark, sf_dir):
+    return readings.clusters(graph(spark, sf_dir))
+
+
+@query
+def count_by_class(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return readings.count_by_class(g, navigation.element_location(g))
+
+
+@query
+def contains_target(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return readings.contains_target(g, readings.path_stops(g, navigation.learning_path(g, "area", labels=("KnowledgeUnit",)), "KnowledgeArea").select("root", "key"))
+
+
+@query
+def justified_stops(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    stops = navigation.learning_path(g, "course", labels=("Course",)).filter("depth > 0").join(g.of("Concept").select("key"), "key", "left_semi")
+    return readings.justification(g, stops.select("root", "key"), 3)
