@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curralis.operators.audit import RawGraph, props
-from curralis.sources.star import EDGES_SQL, NODES_SQL, TABLES, tables
+from curralis.sources.star import graph, tables
 
 _K = "CAST(substr(key, 2) AS BIGINT)"
 _C, _R = "label = 'Concept'", "label = 'LearningResource' AND key <> 'RREF'"
@@ -59,9 +59,8 @@ UNION ALL SELECT 'IS_ABOUT', 'RREF', 'N' || CAST(p_partkey AS STRING) FROM {part
 
 
 def raw_graph(spark: SparkSession, sf_dir: str) -> RawGraph:
-    found = tables(spark, sf_dir, *TABLES)
-    nodes = spark.sql(RAW_NODES_SQL, nodes=spark.sql(NODES_SQL, **found))
-    edges = spark.sql(RAW_EDGES_SQL, edges=spark.sql(EDGES_SQL, **found))
+    clean = graph(spark, sf_dir)
+    nodes, edges = spark.sql(RAW_NODES_SQL, nodes=clean.nodes), spark.sql(RAW_EDGES_SQL, edges=clean.edges)
     shown = {"key": "key", "layer": "layer", "resourceLocator": "locator", "color": "color"}
     return RawGraph(nodes.select("id", F.split("labels", " ").alias("labels"), props(shown, {"resourceLocator": "locator_kind"})), edges.select("id", "type", "src", "dst", props({"provenance": "provenance", "weight": "weight"})))
 

@@ -5,12 +5,20 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which driver and executors share; set here only where it is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = os.path.join(tempfile.gettempdir(), "curralis-checkpoints")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once into the session's checkpoint folder, which all executors share; set here only where it is unset."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "curralis-checkpoints"))
+    """df computed once into the session's checkpoint folder: lost executors lose nothing, and later plans start from it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

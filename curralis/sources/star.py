@@ -6,9 +6,12 @@ that the operators read and the one that their oracles read come from one defini
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from curralis.schema import Graph
+from curralis.plans.lineage import shared_folder
+from curralis.schema import EDGES, NODES, Graph
 
 TABLES = ("region", "nation", "part", "supplier", "lineitem", "pages")
 _NULL = "CAST(NULL AS STRING)"
@@ -71,11 +74,28 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame
     return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
 
 
-def graph(spark: SparkSession, sf_dir: str) -> Graph:
+_published: dict[tuple[str, str], str] = {}
+
+
+def project(spark: SparkSession, sf_dir: str) -> Graph:
+    """The projection as it is computed, lazily."""
     found = tables(spark, sf_dir, *TABLES)
     return Graph(spark.sql(NODES_SQL, **found), spark.sql(EDGES_SQL, **found))
 
 
+def graph(spark: SparkSession, sf_dir: str, refresh: bool = False) -> Graph:
+    """The published version of the projection: written once per session, partitioned by label and by type, so that a
+    question scans only the classes and edge types that it names. refresh publishes anew after the tables have changed."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if refresh or key not in _published:
+        made, path = project(spark, sf_dir), f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
+        made.nodes.repartition("label").write.partitionBy("label").parquet(f"{path}/nodes")
+        made.edges.repartition("type").write.partitionBy("type").parquet(f"{path}/edges")
+        _published[key] = path
+    read = lambda part, schema: spark.read.schema(schema).parquet(f"{_published[key]}/{part}").select(*[c.split()[0] for c in schema.split(", ")])
+    return Graph(read("nodes", NODES), read("edges", EDGES))
+
+
 def with_graph(sql: str) -> str:
     """DuckDB SQL that reads the tables nodes and edges of the projection. sql may begin with RECURSIVE or further tables and a comma-less body."""
     names = {n: n for n in TABLES}
