@@ -120,7 +120,7 @@ def _norm(x: str) -> str:
     for _ in range(6):  # protect a run sign by sign, from its end
         plus = f"regexp_replace({plus}, '\\+' || chr(57344), chr(57344) || chr(57345), 'g')"
         plus = f"regexp_replace({plus}, '#' || chr(57344), chr(57344) || chr(57346), 'g')"
-    clean = f"regexp_replace({plus}, '[^\\pL\\pN' || chr(57345) || chr(57346) || ']', ' ', 'g')".replace("chr(57344) || chr(57345), 'g')", "chr(57344) || chr(57345), 'g')")
+    clean = f"regexp_replace(replace({plus}, chr(57344), ''), '[^\\pL\\pN' || chr(57345) || chr(57346) || ']', ' ', 'g')"
     clean = f"replace(replace({clean}, chr(57345), '+'), chr(57346), '#')"
     stem = "regexp_replace(w, 's$', '')"
     short = f"CASE WHEN length({stem}) > 2 AND {stem} LIKE '%e' AND substr({stem}, -2, 1) NOT IN ('a','e','i','o','u') THEN {stem}[:-2] ELSE {stem} END"
@@ -244,4 +244,11 @@ ORACLES = {
     "neighbour_clusters": with_graph(" SELECT key, type, direction, count(*) AS n, count(*) > 14 AS clustered FROM (SELECT source AS key, type, 'out' AS direction FROM edges WHERE type <> 'WAS_DERIVED_FROM' UNION ALL SELECT target, type, 'in' FROM edges WHERE type <> 'WAS_DERIVED_FROM') GROUP BY ALL"),
     "count_by_class": with_graph(_closure("up", _all(*_ELEMENTS), "PART_OF", 3) + _closure("down", _all(*_ELEMENTS), "PART_OF", 3, back=True) + " SELECT root, label, count(*) AS n FROM (SELECT root, node FROM up UNION SELECT root, node FROM down) f JOIN nodes n ON n.key = f.node GROUP BY root, label"),
     "contains_target": _path("KnowledgeUnit", "area") + ", x AS (SELECT root, p.key FROM path p JOIN nodes n ON n.key = p.key AND n.label = 'KnowledgeArea' WHERE depth > 0) SELECT root, key, EXISTS (SELECT 1 FROM wholes w WHERE w.root = x.root AND w.node = x.key AND w.depth > 0) AS contains FROM x",
+    "resources_of": "SELECT r.root, r.key, r.kind, string_agg(DISTINCT e.target, ',' ORDER BY e.target) AS parts FROM (SELECT root, key, (SELECT min(k.target) FROM kinds k WHERE k.source = key) AS kind FROM res WHERE role = 'resource') r JOIN abouts e ON e.source = r.key JOIN res s ON s.root = r.root AND s.key = e.target AND s.role IN ('element', 'covered') GROUP BY r.root, r.key, r.kind",
 }
+ORACLES["resources_of"] = f"WITH res AS ({ORACLES['nav_resources']}), kinds AS ({with_graph(' SELECT source, target FROM edges WHERE type = ' + repr('HAS_RESOURCE_TYPE'))}), abouts AS ({with_graph(' SELECT source, target FROM edges WHERE type = ' + repr('IS_ABOUT'))}) " + ORACLES["resources_of"]
+_HASH = "sha1('\\x6b\\xa7\\xb8\\x11\\x9d\\xad\\x11\\xd1\\x80\\xb4\\x00\\xc0\\x4f\\xd4\\x30\\xc8'::BLOB || encode('Concept|' || norm))"
+ORACLES["link_mentions"] = with_graph(f""", known AS (SELECT norm, arg_min(key, (rank, key)) AS key FROM (SELECT key, 0 AS rank, {_norm('name_es')} AS norm FROM nodes WHERE label = 'Concept' UNION ALL SELECT key, 1, {_norm('name_en')} FROM nodes WHERE label = 'Concept') WHERE norm <> '' GROUP BY norm),
+    m AS (SELECT name, {_norm('name')} AS norm FROM (SELECT CASE p_partkey % 3 WHEN 0 THEN upper(p_name) || 's' WHEN 1 THEN 'new-' || p_name ELSE p_name END AS name FROM part)),
+    h AS (SELECT m.name, m.norm, k.key, {_HASH.replace('norm)', 'm.norm)')} AS x FROM m LEFT JOIN known k ON k.norm = m.norm)
+    SELECT name, norm, key IS NULL AS minted, coalesce(key, x[1:8] || '-' || x[9:12] || '-5' || x[14:16] || '-' || substr('89ab', CAST(('0x' || x[17:17])::INT % 4 + 1 AS INT), 1) || x[18:20] || '-' || x[21:32]) AS key FROM h""")
