@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from curralis.functions.text import fold, tokens
 from curralis.operators.closure import bfs, partonomy, reversed_edges
+from curralis.plans.lineage import settled
 from curralis.schema import LEVELS, MAX_NEIGHBORS, MAX_RESULTS, MAX_SECOND, TOP_LEVEL, Graph
 
 DERIVED_FROM = "WAS_DERIVED_FROM"
@@ -67,7 +68,7 @@ def element_resources(graph: Graph, starts: DataFrame | None = None) -> DataFram
     """(root, key, role): the element, its covered parts and what lies between, the resources about them and their types."""
     seeds = roots(graph, starts, *LEVELS, "Course")
     part_of, about = graph.links("PART_OF"), graph.links("IS_ABOUT")
-    parts = partonomy(seeds, reversed_edges(part_of)).filter("depth > 0").select("root", "node")
+    parts = settled(partonomy(seeds, reversed_edges(part_of)).filter("depth > 0").select("root", "node"))
     covered = parts.join(about.select(F.col("target").alias("node")), "node", "left_semi")
     above = partonomy(covered.select(F.struct("root", "node").alias("root"), "node"), part_of).filter("depth > 0")
     between = above.select("root.root", "node").distinct().join(parts, ["root", "node"], "left_semi").join(covered, ["root", "node"], "left_anti")
@@ -91,10 +92,10 @@ def learning_path(graph: Graph, grain: str, starts: DataFrame | None = None, lab
     """
     seeds, part_of, needs, teaches = roots(graph, starts, *labels), graph.links("PART_OF"), graph.links("HAS_PREREQUISITE"), graph.links("TEACHES_CONCEPT")
     concepts = graph.of("Concept").select(F.col("key").alias("node"))
-    contained = partonomy(seeds, reversed_edges(part_of)).select("root", "node")  # the target itself too, which counts if it is a concept
+    contained = settled(partonomy(seeds, reversed_edges(part_of)).select("root", "node"))  # the target itself too, which counts if it is a concept
     taught = seeds.select("root").join(teaches, F.col("root") == F.col("source")).select("root", F.col("target").alias("node"))
-    inside = contained.join(concepts, "node", "left_semi").select("root", "node").union(taught).distinct()
-    outside = bfs(inside, needs).filter("depth > 0").join(inside, ["root", "node"], "left_anti").select("root", "node", "depth")
+    inside = settled(contained.join(concepts, "node", "left_semi").select("root", "node").union(taught).distinct())
+    outside = settled(bfs(inside, needs).filter("depth > 0").join(inside, ["root", "node"], "left_anti").select("root", "node", "depth"))
     if grain == "topic":
         topics = part_of.join(graph.of("Topic").select(F.col("key").alias("target")), "target", "left_semi")
         lifted = outside.join(topics, F.col("node") == F.col("source")).select("root", F.col("target").alias("key"), "depth")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once into the session's checkpoint folder: lost executors lose nothing, and later plans start from it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """df computed once, as Parquet in the checkpoint folder: lost executors lose nothing, and later plans start from it.
+
+    A table is written by one job, where checkpoint() computes its plan a second time to write it.
+    """
+    path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
