@@ -43,8 +43,6 @@ class WordTable:
         self.table: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.table) + len(words) > self.limit:
-            self.table.clear()
         for w, e in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False)):
             self.table[w] = array("I", e.ids).tobytes()
 
@@ -54,10 +52,10 @@ class WordTable:
         cut = [[] if k in odd else t.split() for k, t in enumerate(texts)]
         need = set().union(*cut)
         if new := need - self.table.keys():
-            kept = len(self.table)
+            if len(self.table) + len(new) > self.limit:
+                self.table.clear()
+                new = need
             self._learn(list(new))
-            if len(self.table) < kept + len(new):  # the table was begun anew
-                self._learn(list(need - self.table.keys()))
         get = self.table.__getitem__
         return [array("I", self.tokenizer.encode(texts[k], add_special_tokens=False).ids).tobytes() if k in odd else b"".join(map(get, c)) for k, c in enumerate(cut)]
 

@@ -53,9 +53,6 @@ class Codec:
         self.back: dict[str, str] = {}
 
     def _learn(self, chunks: list[str]) -> None:
-        if len(self.ids) + len(chunks) > self.limit:
-            self.ids.clear()
-            self.back.clear()
         # the library puts a marker before every text that isn't empty
         many = self.model.encode(chunks, num_threads=1)
         pieces, numbers = self.pieces, self.numbers
@@ -84,10 +81,11 @@ class Codec:
         cut = [self.chunks(t) for t in texts]
         need = set().union(*cut)
         if new := need - self.ids.keys():
-            kept = len(self.ids)
+            if len(self.ids) + len(new) > self.limit:
+                self.ids.clear()
+                self.back.clear()
+                new = need
             self._learn(list(new))
-            if len(self.ids) < kept + len(new):  # the tables were begun anew
-                self._learn(list(need - self.ids.keys()))
         ids, back = self.ids.__getitem__, self.back.__getitem__
         return [(",".join(map(ids, c)), "".join(map(back, c))[1:]) for c in cut]
 

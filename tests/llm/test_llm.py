@@ -75,7 +75,8 @@ def test_warc_round_trip(spark):
     pages = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, payload string")
     at = shared_path(spark, "test-warc")
     found = warc.read(warc.write(warc.plan(pages), at, roll_bytes=400), split_bytes=100).collect()
-    assert sorted((r.page_id or 0, r.record_type, r.refers_to) for r in found) == [(0, "revisit", 1), (1, "response", None), (2, "response", None), (3, "revisit", 1), (4, "response", None), (5, "response", None), (6, "response", None), (7, "response", None), (7, "response", None)] or sorted((r.page_id or 0, r.record_type) for r in found)[0] == (0, "response")
+    kinds = sorted((r.page_id or 0, r.record_type, r.refers_to or 0) for r in found)
+    assert kinds == [(0, "response", 0), (1, "response", 0), (2, "response", 0), (3, "revisit", 1), (4, "response", 0), (5, "response", 0), (6, "response", 0), (7, "response", 0), (7, "response", 0)]
     assert all(r.payload_digest == hashlib.sha256((h or "").encode()).hexdigest() for r in found for p, _, h in rows if p == r.page_id)
     assert warc.archives_in(spark, at).agg(F.sum("bytes")).first()[0] > 0
     assert warc.round_trip(empty(spark, "page_id long, url string, html string")).count() == 0
@@ -128,7 +129,7 @@ def test_surrogates(spark):
     for secret in ("ana.b@", "555-2485", "42.144.35.254", "4041894974608795", "4041 8949", "Elena", "Braun", "Иванов", "Παππά", "0641917e", "AKIAMD62", "b7db7aa4", "B7DB7AA4", "123-45-6789", "3704 0044"):
         assert all(secret not in (r.text or "") for r in out.values()), secret
     mail = re.search(r"Mail (\S+@\S+),", out[0].text)[1]
-    assert mail.lower() == re.match(r"\S+@[^;]+", out[1].text)[0].lower() and re.match(r"[A-Z]{3}\.[A-Z]@", out[1].text)
+    assert mail.lower() == re.match(r"\S+@[^; ]+", out[1].text)[0].lower() and re.match(r"[A-Z]{3}\.[A-Z]@", out[1].text)
     one, two = re.search(r"card (\d{16}) and ((?:\d{4} ?){4})", out[0].text).groups()
     luhn = lambda s: sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(s))) % 10
     assert one == two.replace(" ", "").rstrip(".") and luhn(one) == luhn("4041894974608795") and one[0] == "4"
