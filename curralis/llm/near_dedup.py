@@ -7,8 +7,8 @@
 3. Each bucket first offers its members against its smallest one (linear in its size). What the signature leaves
    possible (SLACK below the threshold: over five standard deviations) is confirmed on the full sets.
 4. Components by alternating large-star and small-star. Only members of a bucket that are still in different components can matter to
-   the result, so those are compared next: small buckets as pairs, large ones block by block on their signatures
-   inside tasks, which give each straggler's best partners, and then, without a limit, what is possible still.
+   the result, so those are compared next: small buckets as pairs, large ones block by block
+   inside tasks, on signatures and full sets, which return only links that join two components.
 
 Defined cases: a null text or one without words has no set and is linked with nothing; fewer words than a shingle's
 count as one shingle; equal texts, ties and repeated rows share a class, as their sets are equal; rows without a
@@ -29,8 +29,10 @@ from curralis.llm.common import written
 
 BANDS, ROWS, SEED, SLACK = 40, 5, 11, 0.15
 #: Buckets up to SMALL members are compared as pairs; larger ones in blocks of BLOCK members by STRAGGLERS.
-SMALL, BLOCK, STRAGGLERS, BEST = 16, 2048, 512, 8
-TABLE = 700_000
+SMALL, BLOCK, STRAGGLERS = 16, 2048, 512
+#: Ids are broadcast up to this many (16 MB).
+SENT = 2_000_000
+TABLE = 250_000
 _hashes: dict[bytes, int] = {}
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -84,6 +86,11 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return key.astype(np.int64)
 
 
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows (doc, ...) whose doc is in ids (doc). Up to SENT ids are broadcast, so that rows need no shuffle; more are joined."""
+    return rows.join(F.broadcast(ids) if ids.count() <= SENT else ids, "doc", "left_semi")
+
+
 def classes_of(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, n_shingles, set_key, sig) of every document; set_key and sig are null where there is no set."""
 
@@ -119,23 +126,30 @@ def _likely(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
             keep = np.flatnonzero((x == y).mean(axis=1) >= threshold - SLACK)
             yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep)) for k in (0, 1)], names=["a", "b"])
 
+    sigs = _only(sigs, _ends(pairs))
     one, two = sigs.select(F.col("doc").alias("a"), F.col("sig").alias("sig_a")), sigs.select(F.col("doc").alias("b"), F.col("sig").alias("sig_b"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(task, "a long, b long")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
+
+
+def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """Whether den * intersection >= num * union of two sorted sets."""
+    if den * min(len(x), len(y)) < num * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return den * both >= num * (len(x) + len(y) - both)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Of pairs (a, b), those with den * intersection >= num * union on the full sets (doc, shingles)."""
 
     def task(batches):
         for batch in batches:
-            keep = []
-            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if den * min(len(x), len(y)) < num * max(len(x), len(y)):
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if den * both >= num * (len(x) + len(y) - both):
-                    keep.append(k)
+            sets = zip(batch.column(2), batch.column(3))
+            keep = [k for k, (x, y) in enumerate(sets) if _linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), num, den)]
             yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep, pa.int64())) for k in (0, 1)], names=["a", "b"])
 
     one, two = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("set_a")), sets.select(F.col("doc").alias("b"), F.col("shingles").alias("set_b"))
@@ -153,7 +167,7 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string"))
     # a doc_id names one text; of several rows with it any may stand for the others only if they are equal
-    return rows.join(ids, "doc", "left_semi").mapInArrow(task, "doc long, shingles binary")
+    return _only(rows, ids).mapInArrow(task, "doc long, shingles binary").dropDuplicates(["doc"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -182,34 +196,50 @@ def _open_buckets(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(open_, "bk")
 
 
-def _stragglers(rows: DataFrame, sigs: DataFrame, threshold: float, best: int | None) -> DataFrame:
-    """Possible pairs of different components within large buckets: each straggler's best partners, or all. In blocks."""
-    size = F.sum(F.when(F.col("comp") != F.col("main"), 1).otherwise(0)).alias("r")
-    counts = rows.groupBy("bk").agg(size)
-    rows = rows.join(counts, "bk").join(sigs, "doc")
+def _between(rows: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
+    """Confirmed links (a, b) between different components within large buckets; held: (doc, sig, shingles) of their members.
+
+    Every straggler (a member outside its bucket's main component) meets every other member, in blocks. A pair counts
+    in the first band that its documents share. Only links that join two components that were still apart in the block are returned.
+    """
+    counts = rows.groupBy("bk").agg(F.count_if(F.col("comp") != F.col("main")).alias("r"))
+    rows = rows.join(counts, "bk").join(held, "doc")
     cm, cs = F.ceil(F.col("m") / BLOCK).cast("int"), F.ceil(F.col("r") / STRAGGLERS).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     key = lambda n: F.pmod(F.xxhash64("doc"), n).cast("int")
-    members = rows.select("bk", "doc", "comp", "main", "sig", key(cm).alias("cm"), every(cs).alias("cs"))
-    lone = rows.filter("comp <> main").select("bk", "doc", "comp", "main", "sig", key(cs).alias("cs"), every(cm).alias("cm"))
+    members = rows.select("bk", "doc", "comp", "main", "sig", "shingles", key(cm).alias("cm"), every(cs).alias("cs"))
+    lone = rows.filter("comp <> main").select("bk", "doc", "comp", "main", "sig", "shingles", key(cs).alias("cs"), every(cm).alias("cm"))
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    threshold = num / den
 
     def block(_, x: pa.Table, y: pa.Table) -> pa.Table:
         if not x.num_rows or not y.num_rows:
             return out.empty_table()
-        sig = lambda t: np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, BANDS * ROWS)
-        sx, sy = sig(x), sig(y)
-        dy, cy = y.column("doc").to_numpy(), y.column("comp").to_numpy()
-        in_main = cy == y.column("main").to_numpy()
+        sig = lambda t: np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, BANDS, ROWS)
+        sets = lambda t: [np.frombuffer(s, np.uint64) for s in t.column("shingles").to_pylist()]
+        sx, sy, hx, hy = sig(x), sig(y), sets(x), sets(y)
+        dy, cy = y.column("doc").to_pylist(), y.column("comp").to_numpy()
+        in_main, ids = cy == y.column("main").to_numpy(), y.column("doc").to_numpy()
+        band = int(np.flatnonzero(band_keys(sx[0])[0] == x.column("bk")[0].as_py())[0])
+        parent: dict[int, int] = {}
+
+        def find(c):
+            while c in parent:
+                c = parent[c]
+            return c
+
         a, b = [], []
         for k, (d, c) in enumerate(zip(x.column("doc").to_pylist(), x.column("comp").to_pylist())):
-            other = np.flatnonzero((cy != c) & (in_main | (dy > d)))
-            like = (sy[other] == sx[k]).mean(axis=1)
-            hit = np.flatnonzero(like >= threshold - SLACK)
-            if best is not None and len(hit) > best:
-                hit = hit[np.argsort(-like[hit], kind="stable")[:best]]
-            a += [d] * len(hit)
-            b += dy[other[hit]].tolist()
+            other = np.flatnonzero((cy != c) & (in_main | (ids > d)))
+            same = sy[other] == sx[k]
+            like, first = same.mean(axis=(1, 2)), same.all(axis=2).argmax(axis=1)
+            hit = np.flatnonzero((like >= threshold - SLACK) & (first == band))
+            for i in other[hit[np.argsort(-like[hit], kind="stable")]].tolist():
+                one, two = find(c), find(int(cy[i]))
+                if one != two and _linked(hx[k], hy[i], num, den):
+                    parent[max(one, two)] = min(one, two)
+                    a.append(d)
+                    b.append(dy[i])
         return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=out)
 
     keys = ("bk", "cs", "cm")
@@ -217,10 +247,6 @@ def _stragglers(rows: DataFrame, sigs: DataFrame, threshold: float, best: int |
     return lone.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInArrow(block, "a long, b long")
 
 
-def _pair(a, b):
-    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
-
-
 def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs: components of den * |intersection| >= num * |union|."""
     threshold = num / den
@@ -233,28 +259,20 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100)
     shared = written(buckets.join(heads, "bk"), "buckets")
 
     def confirmed(pairs, name):
-        likely = written(_likely(pairs.distinct(), sigs, threshold), f"likely-{name}")
-        ids = likely.select(F.col("a").alias("doc")).union(likely.select(F.col("b").alias("doc"))).distinct()
-        return written(_confirmed(likely, _sets(docs, ids, width).dropDuplicates(["doc"]), num, den), f"links-{name}")
+        likely = written(_likely(written(pairs.distinct(), f"pairs-{name}"), sigs, threshold), f"likely-{name}")
+        return written(_confirmed(likely, _sets(docs, _ends(likely), width), num, den), f"links-{name}")
 
     links = confirmed(shared.filter("doc <> head").select(F.col("head").alias("a"), F.col("doc").alias("b")), "heads")
     comps = components(links)
-    members = shared.select("bk", "doc")
-    for step, best in enumerate((BEST, None)):
-        rest = written(_open_buckets(members, comps), "open-buckets")
-        big = rest.filter(F.col("m") > SMALL)
-        pairs = _stragglers(big, sigs, threshold, best).select(*_pair("a", "b"))
-        if not step:  # small buckets are compared in full the first time
-            few = rest.filter(F.col("m") <= SMALL)
-            x, y = few.select("bk", F.col("doc").alias("a"), F.col("comp").alias("ca")), few.select("bk", F.col("doc").alias("b"), F.col("comp").alias("cb"))
-            pairs = pairs.union(x.join(y, "bk").filter("ca <> cb and a < b").select("a", "b"))
-        more = confirmed(pairs, f"rest{step}")
-        if more.isEmpty():
-            if best is None or big.isEmpty():
-                break
-            continue
-        links = links.union(more)
-        comps = components(links)
+    rest = written(_open_buckets(shared.select("bk", "doc"), comps), "open-buckets")
+    few, big = rest.filter(F.col("m") <= SMALL), rest.filter(F.col("m") > SMALL)
+    x, y = few.select("bk", F.col("doc").alias("a"), F.col("comp").alias("ca")), few.select("bk", F.col("doc").alias("b"), F.col("comp").alias("cb"))
+    more = confirmed(x.join(y, "bk").filter("ca <> cb and a < b").select("a", "b"), "small")
+    ids = written(big.select("doc").distinct(), "straggler-ids")
+    held = _only(sigs, ids).join(_sets(docs, ids, width), "doc")
+    more = more.union(written(_between(big, held, num, den), "links-between"))
+    if not more.isEmpty():
+        comps = components(links.union(more))
     named = reps.select("set_key", "doc").join(comps, "doc", "left").select("set_key", F.coalesce("comp", "doc").alias("component_id"))
     out = rows.join(named, "set_key", "left")
     comp = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
