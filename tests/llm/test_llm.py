@@ -358,7 +358,7 @@ def test_packing(spark, odd):
         want = collections.Counter()
         for r in docs.select("doc_id", "text").collect():
             ids = np.array([*tool.tokenizer.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4")
-            want.update((r.doc_id or -1, k // 512, k, len(ids[k : k + 512]), zlib.crc32(ids[k : k + 512].tobytes())) for k in range(0, len(ids), 512))
+            want.update((-1 if r.doc_id is None else r.doc_id, k // 512, k, len(ids[k : k + 512]), zlib.crc32(ids[k : k + 512].tobytes())) for k in range(0, len(ids), 512))
         assert collections.Counter((int(r.doc_id) if r.doc_id == r.doc_id else -1, r.piece, r.start, r.length, r.ids_crc32) for r in rows.itertuples()) == want
         for _, g in rows.groupby("sequence_id"):
             g = g.sort_values("offset")
