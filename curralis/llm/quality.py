@@ -25,7 +25,7 @@ from curralis.llm.common import written
 
 SAMPLE, BUCKETS, MARKS, DIMS, NONZERO, WINDOW, HIDDEN, SEED = 8_000, 1 << 14, 64, 64, 8, 2, 32, 7
 #: Most words that a worker's table holds before it starts anew.
-TABLE = 700_000
+TABLE = 250_000
 _PUNCTUATION = ".,;:?'\"()[]{}-_/\\|!@#$%^&*+=<>~`"
 _table: dict[str, int] = {}
 
