@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -50,11 +51,10 @@ class WordTable:
         """Little-endian unsigned 32-bit ids of each text."""
         odd = {k for k, t in enumerate(texts) if any(c in t for c in _SEPARATORS)}
         cut = [[] if k in odd else t.split() for k, t in enumerate(texts)]
-        need = set().union(*cut)
-        if new := need - self.table.keys():
+        if new := set(filterfalse(self.table.__contains__, chain.from_iterable(cut))):
             if len(self.table) + len(new) > self.limit:
                 self.table.clear()
-                new = need
+                new = set().union(*cut)
             self._learn(list(new))
         get = self.table.__getitem__
         return [array("I", self.tokenizer.encode(texts[k], add_special_tokens=False).ids).tobytes() if k in odd else b"".join(map(get, c)) for k, c in enumerate(cut)]
