@@ -266,6 +266,27 @@ def test_line_chunks(spark):
     assert line_dedup.drop_repeated_chunks(empty(spark)).count() == 0
 
 
+def test_repeated_runs_go_whole(spark):
+    rng = random.Random(6)
+    line = lambda n=9: " ".join(f"w{rng.randint(0, 9999)}" for _ in range(n))
+    two, six, paragraphs, short = [line(40), line(30)], [line(11) for _ in range(6)], [line(), "", line(), "", line()], line(5)
+    docs = [(i, "\n".join([line(), *[two, six, paragraphs][i % 3], line(), short, "", line()])) for i in range(1, 40)] + [(90, "x y\nx y\nx y\nz")]
+    out = {r.doc_id: r for r in line_dedup.drop_repeated_chunks(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for passage, first in ((two, 3), (six, 1), (paragraphs, 2)):
+        n = {i: sum(x in out[i].text.split("\n") for x in passage if x) for i in range(first, 40, 3)}
+        assert n.pop(first) == sum(map(bool, passage)) and set(n.values()) == {0}
+    assert out[1].n_removed == 0 and out[4].n_removed == 6 and out[90].text == "x y\nx y\nz"
+    assert all(short in r.text for i, r in out.items() if i < 90)  # one short line is no passage
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    two = "one two three\nfour five six"
+    texts = [f"a\n{two}\nb", f"c d\ne f\n{two}", "g h\ni j\nk l\nm n", "o p\nq r\ns t\nu v"]
+    for doc_id in (None, 7):
+        out = line_dedup.drop_repeated_chunks(spark.createDataFrame([(doc_id, t) for t in texts], "doc_id long, text string")).collect()
+        assert sorted(r.n_removed for r in out) == [0, 0, 0, 2] and set(texts[2:]) <= {r.text for r in out}
+
+
 # packing and tokens
 
 ODD = ["a", "B", " ", "  ", "▁", "é", "é", "\n", "\t", "①", "İ", "Σ", " ", "日本", "😀", "‍", "\x00", "ﬁ", "'s", "'", "’", "　", "\r", "the", "1", "\x1c", "\x85", "<|endoftext|>", "<s>", "<0x41>", "!!!", "Å", "가"]
