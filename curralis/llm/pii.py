@@ -10,7 +10,8 @@ Only texts with entities are shuffled. A frequent entity is one row of the surro
 the join may be split by adaptive execution.
 
 Defined cases: a null text stays null, a text without entities stays as it is; rows that repeat doc_id and text
-get equal results; a null doc_id is a value of its own; columns besides doc_id and text pass through; an empty table
+get equal results; a null doc_id is a value of its own; numbers of 13 to 19 digits, other than 16, that
+fail the check digit are no cards and stay; columns besides doc_id and text pass through; an empty table
 stays empty. Columns named as this operator's own result (n_entities) are replaced.
 """
 
@@ -22,7 +23,12 @@ from pyspark.sql import functions as F
 from curralis.llm.common import written
 
 MALE = ("Mr", "Mister", "Señor", "Sr", "Don", "Monsieur", "Herr", "Г-н", "Господин", "Κύριος")
-FEMALE = ("Mrs", "Ms", "Miss", "Señora", "Sra", "Doña", "Señorita", "Madame", "Mademoiselle", "Frau", "Г-жа", "Госпожа", "Κυρία")
+FEMALE = ("Mrs", "Ms", "Miss", "Señora", "Sra", "Doña", "Señorita", "Madame", "Mademoiselle", "Frau", "Dra", "Doctora", "Profesora", "Г-жа", "Госпожа", "Κυρία")
+#: Titles of either gender; these may follow another title.
+NEUTRAL = ("Dr", "Doctor", "Prof", "Professor", "Доктор", "Профессор")
+TITLES = MALE + FEMALE + NEUTRAL
+#: Written small within a name.
+PARTICLES = ("de", "del", "la", "las", "los", "y", "e", "da", "das", "do", "dos", "di", "du", "des", "le", "van", "von", "vom", "zu", "zur", "der", "den", "ter", "ten", "af", "bin", "ibn", "al", "el")
 #: Given names by script and gender, and syllables of surnames by script.
 GIVEN = {
     ("latin", "m"): ("Adam", "Bruno", "Carl", "Daniel", "Emil", "Felix", "Hugo", "Ivan", "Jonas", "Leon", "Martin", "Oscar", "Paul", "Robert", "Simon", "Victor"),
@@ -38,9 +44,9 @@ SYLLABLES = {
     "greek": ("βα", "γα", "δα", "ζα", "κα", "λα", "μα", "να", "πα", "ρα", "σα", "τα", "φα", "χα", "ψα", "θα"),
 }
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_NAME = r"\p{Lu}[\p{L}'’-]+"
+_NAME = rf"(?:(?:(?:{'|'.join(PARTICLES)}) |\p{{Lu}}\.? ){{0,4}}\p{{Lu}}[\p{{L}}'’-]+)"
 #: First letters of the titles: most places fail at this one test.
-_FIRST = "".join(sorted({t[0] for t in MALE + FEMALE}))
+_FIRST = "".join(sorted({t[0] for t in TITLES}))
 #: Type and pattern, in the order in which they are tried at a place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -48,21 +54,24 @@ PATTERNS = {
     "secret": r"(?<=[=: \"'])(?=[A-Za-z0-9+/_-]{8})(?<=(?i:password|passwd|secret|token|api_key)(?: ?[=:] ?)[\"']?)[A-Za-z0-9+/_-]{8,}",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "card": r"(?<![0-9])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?![0-9])",
+    # 16 digits in fours first, so that a number behind them is not taken for a part; other lengths need a right check digit
+    "card": r"(?<![0-9])(?!00)(?:(?:[0-9]{4}[ -]?){3}[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{13,19})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])",
-    "person": rf"(?<![\p{{L}}])(?=[{_FIRST}])(?:{'|'.join(MALE + FEMALE)})\.? {_NAME}(?: {_NAME})?",
+    "phone": r"(?<![0-9A-Za-z])(?:(?:\+|00)[1-9](?:(?: ?\(|\)[ .-]?|[ .-])?[0-9]){6,14}|(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}"
+    r"|0[1-9](?:[ .-]?[0-9]{2}){4}|[6-9][0-9]{1,2}[ .-][0-9]{2,3}(?:[ .-][0-9]{2}){2}|0[0-9]{1,4}[ /-][0-9]{5,8}|0[1-9][0-9]{8,9}|[2-9][0-9]{9})(?![0-9])",
+    "person": rf"(?<![\p{{L}}])(?=[{_FIRST}])(?:{'|'.join(TITLES)})\.?(?: (?:{'|'.join(NEUTRAL)})\b\.?)* {_NAME}(?: {_NAME})*",
 }
 COMBINED = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Texts without any of this have no entity. Each alternative fails at nearly every place by its first test.
-HINT = rf"[0-9@=]|:(?<=(?i:password|passwd|secret|token|api_key) ?:)|(?<!\p{{L}})(?=[{_FIRST}])(?:{'|'.join(MALE + FEMALE)})\.? \p{{Lu}}"
+HINT = rf"[0-9@=]|:(?<=(?i:password|passwd|secret|token|api_key) ?:)|(?<!\p{{L}})(?=[{_FIRST}])(?:{'|'.join(TITLES)})\.? (?:\p{{Lu}}|(?:{'|'.join(PARTICLES)}) )"
 
 
 def _type(mention: Column) -> Column:
     out = F.lit("secret")  # its pattern needs what stands before it
     for name in reversed([n for n in PATTERNS if n != "secret"]):
         out = F.when(mention.rlike(f"^(?:{PATTERNS[name]})$"), name).otherwise(out)
-    return out
+    digits = F.regexp_replace(mention, "[^0-9]", "")
+    return _let(out, lambda k: F.when((k == "card") & (F.length(digits) != 16) & (_luhn(digits) != 0), "none").otherwise(k))
 
 
 def _norm(kind: Column, mention: Column) -> Column:
@@ -120,12 +129,12 @@ def _luhn(digits: Column) -> Column:
 def _person(norm: Column, stream: Column, attempt: Column) -> Column:
     """Title kept; as many names as before, by the title's gender and the names' script. Later attempts have longer surnames."""
     words = F.split(norm, " ")
-    rest = F.array_join(F.slice(words, 2, 3), " ")
+    rest = F.array_join(F.slice(words, F.lit(2), F.size(words)), " ")
     out = F.lit(None).cast("string")
     for script, has in (("latin", None), ("greek", r"\p{IsGreek}"), ("cyrillic", r"\p{IsCyrillic}")):
         parts = [_pick(SYLLABLES[script], _byte(stream, F.lit(10 + k))) for k in range(12)]
         surname = F.initcap(F.array_join(F.slice(F.array(*parts), F.lit(1), F.least(F.lit(12), 3 + attempt)), ""))
-        for gender, titles in (("m", MALE), ("f", FEMALE)):
+        for gender, titles in (("m", MALE + NEUTRAL), ("f", FEMALE)):
             given = _pick(GIVEN[script, gender], _byte(stream, F.lit(1)))
             name = F.concat_ws(" ", words[0], F.when(F.size(words) > 2, given), surname)
             test = words[0].isin(*titles)
@@ -204,11 +213,12 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     mentions = dirty.select("key", F.posexplode("found").alias("pos", "mention")).distinct()
     kind = _type(F.col("mention"))
     mentions = written(mentions.withColumn("kind", kind).withColumn("norm", _norm(F.col("kind"), F.col("mention"))), "mentions")
-    table = surrogate_table(mentions.select("kind", "norm").distinct(), key)
-    placed = mentions.join(table, ["kind", "norm"]).select("key", F.struct("pos", _rendered(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("out")).alias("at"))
-    by_doc = placed.groupBy("key").agg(F.transform(F.sort_array(F.collect_list("at")), lambda x: x["out"]).alias("out"))
+    table = surrogate_table(mentions.filter("kind <> 'none'").select("kind", "norm").distinct(), key)
+    out = F.coalesce(_rendered(F.col("kind"), F.col("mention"), F.col("surrogate")), "mention")
+    placed = mentions.join(table, ["kind", "norm"], "left").select("key", "kind", F.struct("pos", out.alias("out")).alias("at"))
+    by_doc = placed.groupBy("key").agg(F.transform(F.sort_array(F.collect_list("at")), lambda x: x["out"]).alias("out"), F.count_if(F.col("kind") != "none").alias("n"))
     parts = F.split("old", COMBINED, -1)
     text = F.array_join(F.zip_with(parts, F.concat("out", F.array(F.lit(""))), lambda p, o: F.concat(p, o)), "")
-    done = dirty.join(by_doc, "key").select("row", text.alias("new"), F.size("out").cast("long").alias("n"))
+    done = dirty.join(by_doc, "key").select("row", text.alias("new"), "n")
     own = [F.col("new").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     return clean.unionByName(done.select(*own, F.col("n").alias("n_entities")))

@@ -147,6 +147,20 @@ def test_surrogates_stay_distinct(spark):
     assert out.join(spark.createDataFrame(rows, "i long, text string"), "text").count() == 0
 
 
+def test_shapes_of_personal_data(spark):
+    found = ["Señor Juan Garcia Lopez", "Mr John Fitzgerald Kennedy", "Mr J. R. Tolkien", "Señora Ana de la Cruz Vega", "Dr Hans Meier", "Prof. Dr. Eva Maria Kohl", "Herr von Braun", "+15551234567", "5551234567", "06 12 34 56 78",
+             "+49 30 12345678", "030 12345678", "0033 6 12 34 56 78", "+1 (988) 555-2485", "378282246310005", "3782 822463 10005", "4222222222222", "4041 8949 7460 8795"]
+    stays = ["version 3.1.2 of 2024-01-15", "378282246310006", "1700000000", "order 12345", "in 2019, 2020", "Dr who"]
+    docs = spark.createDataFrame([(i, f"so {t}, then") for i, t in enumerate(found + stays)], "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.pseudonymise(docs, "k").collect()}
+    for i, t in enumerate(found):
+        left = re.fullmatch("so (.*), then", out[i].text)[1]
+        assert out[i].n_entities == 1 and not [w for w in t.split()[1:] if len(w.strip(".")) > 3 and w in left.split()] and left != t, (t, left)
+        if t[-1].isdigit():
+            assert re.sub("[0-9]", "9", left) == re.sub("[0-9]", "9", t)
+    assert all((out[len(found) + i].text, out[len(found) + i].n_entities) == (f"so {t}, then", 0) for i, t in enumerate(stays))
+
+
 # sharding
 
 
