@@ -3,7 +3,12 @@
 Detected entities get a replacement of their own type: keyed (a SHA-512 stream of key, type and the normalised
 entity), of the same format (digits stay digits, letters keep their case, separators and lengths stay; addresses stay
 addresses, card numbers keep their check digit's validity), persons a name of the same gender and script. Mentions of the same
-entity get the same surrogate. Surrogates are checked against each other and against every detected entity over the
+entity get the same surrogate.
+
+Titles are no part of a person: a surname has one surrogate wherever it stands, alone or behind given names, and a given name
+one for each gender and surnames, so that 'Mr John Smith', 'Mister John Smith' and 'Mr Smith' share a surname. Gender is that of the
+title, behind Dr and Prof that of the same name elsewhere. A phone number is its last nine digits, so that it is the same with and
+without its country code; digits before them stay. Surrogates are checked against each other and against every detected entity over the
 whole table; those that collide are drawn again with the next attempt number, until none collides.
 
 Only texts with entities are shuffled. A frequent entity is one row of the surrogate table; its mentions' side of
@@ -78,9 +83,9 @@ def _norm(kind: Column, mention: Column) -> Column:
     """What mentions of one entity have in common."""
     return (
         F.when(kind == "email", F.lower(mention))
-        .when(kind.isin("card", "ssn", "phone"), F.regexp_replace(mention, "[^0-9]", ""))
+        .when(kind.isin("card", "ssn"), F.regexp_replace(mention, "[^0-9]", ""))
+        .when(kind == "phone", F.regexp_extract(F.regexp_replace(mention, "[^0-9]", ""), "[0-9]{1,9}$", 0))
         .when(kind == "iban", F.regexp_replace(mention, " ", ""))
-        .when(kind == "person", F.regexp_replace(mention, r"\.", ""))
         .otherwise(mention)
     )
 
@@ -126,19 +131,54 @@ def _luhn(digits: Column) -> Column:
     return F.pmod(F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), add), F.lit(10))
 
 
-def _person(norm: Column, stream: Column, attempt: Column) -> Column:
-    """Title kept; as many names as before, by the title's gender and the names' script. Later attempts have longer surnames."""
-    words = F.split(norm, " ")
-    rest = F.array_join(F.slice(words, F.lit(2), F.size(words)), " ")
+def _bare(word: Column) -> Column:
+    """A name's word as it is compared: small, without a possessive ending."""
+    return F.lower(F.regexp_replace(word, "['’]s$", ""))
+
+
+def _pieces(kind: Column, norm: Column, mention: Column) -> Column:
+    """(at, kind, norm, piece) of what is replaced apart: the words of a person, a whole mention of other kinds.
+
+    The first of several names is a given name ('given', with gender and all other names), the others and single ones are
+    surnames. Titles, particles and what is no entity have kind 'none'.
+    """
+    gender = lambda title: F.when(title.isin(*MALE), "m").when(title.isin(*FEMALE), "f").otherwise("n")
+    plain = lambda w: F.regexp_replace(w, r"\.$", "")
+
+    def words(all_):
+        title = lambda w, i: (i == 0) | (plain(w).isin(*NEUTRAL) & (i < 4))
+        marked = F.transform(all_, lambda w, i: F.struct(i.alias("at"), F.when(title(w, i) | w.isin(*PARTICLES), "none").when(w.rlike(r"^\p{Lu}\.?$"), "initial").otherwise("surname").alias("kind"), w.alias("piece")))
+        names = F.filter(marked, lambda x: x["kind"] == "surname")
+
+        def named(pair):
+            first, bare = F.get(pair["names"], F.lit(0))["at"], F.array_join(F.transform(pair["names"], lambda x: _bare(x["piece"])), " ")
+            given = lambda x: (x["at"] == first) & (F.size(pair["names"]) > 1)
+            who = F.concat_ws("|", gender(plain(F.get(all_, F.lit(0)))), bare)
+            return F.transform(pair["marked"], lambda x: F.struct(x["at"], F.when(given(x), "given").otherwise(x["kind"]).alias("kind"), F.when(given(x), who).when(x["kind"] == "surname", _bare(x["piece"])).otherwise(x["piece"]).alias("norm"), x["piece"]))
+
+        return _let(F.struct(marked.alias("marked"), names.alias("names")), named)
+
+    whole = F.array(F.struct(F.lit(0).alias("at"), kind.alias("kind"), norm.alias("norm"), mention.alias("piece")))
+    return F.when(kind == "person", _let(F.split(mention, " "), words)).otherwise(whole)
+
+
+def _without_gender(kind: Column, norm: Column) -> Column:
+    return F.when(kind == "given", F.substring(norm, F.lit(3), F.length(norm))).otherwise(norm)
+
+
+def _name(kind: Column, norm: Column, stream: Column, attempt: Column) -> Column:
+    """A surname, or a given name and the real surnames, which tell it apart; in the name's script, all small. Later attempts have longer names."""
     out = F.lit(None).cast("string")
+    body = _without_gender(kind, norm)
+    rest = F.substring(body, F.instr(body, " ") + 1, F.length(body))
+    man = (F.substring(norm, F.lit(1), F.lit(1)) == "m") | ((F.substring(norm, F.lit(1), F.lit(1)) == "n") & (_byte(stream, F.lit(0)) % 2 == 0))
     for script, has in (("latin", None), ("greek", r"\p{IsGreek}"), ("cyrillic", r"\p{IsCyrillic}")):
         parts = [_pick(SYLLABLES[script], _byte(stream, F.lit(10 + k))) for k in range(12)]
-        surname = F.initcap(F.array_join(F.slice(F.array(*parts), F.lit(1), F.least(F.lit(12), 3 + attempt)), ""))
-        for gender, titles in (("m", MALE + NEUTRAL), ("f", FEMALE)):
-            given = _pick(GIVEN[script, gender], _byte(stream, F.lit(1)))
-            name = F.concat_ws(" ", words[0], F.when(F.size(words) > 2, given), surname)
-            test = words[0].isin(*titles)
-            out = F.when(test if has is None else test & rest.rlike(has), name).otherwise(out)
+        surname = F.array_join(F.slice(F.array(*parts), F.lit(1), F.least(F.lit(12), 3 + attempt)), "")
+        many = lambda g: F.array_join(F.slice(F.array(*[_pick(GIVEN[script, g], _byte(stream, F.lit(30 + k))) for k in range(6)]), F.lit(1), F.least(F.lit(6), 1 + attempt)), "-")  # noqa: B023, E731
+        given = F.concat_ws(" ", F.lower(F.when(man, many("m")).otherwise(many("f"))), rest)
+        name = F.when(kind == "given", given).otherwise(surname)
+        out = name if has is None else F.when(body.rlike(has), name).otherwise(out)
     return out
 
 
@@ -158,14 +198,13 @@ def _drawn(kind: Column, norm: Column, attempt: Column, stream: Column) -> Colum
     head = _let(card, lambda c: F.substring(c, F.lit(1), F.length(c) - 1))
     card = _let(head, lambda c: F.concat(c, F.pmod(_luhn(norm) - _let(F.concat(c, F.lit("0")), _luhn), F.lit(10)).cast("string")))
     hex_ = norm.rlike("^[0-9a-f]+$")
-    phone = _scrambled(norm, stream, F.lit(1), none)
     return (
         F.when(kind == "email", F.when(at > 0, email))
         .when(kind == "ip", ip)
         .when(kind == "card", card)
-        .when(kind == "phone", phone)
+        .when(kind == "phone", _scrambled(norm, stream, F.lit(0), none))
         .when(kind.isin("iban", "aws_key"), _scrambled(norm, stream, F.when(kind == "iban", 2).otherwise(4), none))
-        .when(kind == "person", _person(norm, stream, attempt))
+        .when(kind.isin("surname", "given"), _name(kind, norm, stream, attempt))
         .otherwise(_scrambled(norm, stream, F.lit(0), hex_))
     )
 
@@ -174,18 +213,21 @@ def _rendered(kind: Column, mention: Column, surrogate: Column) -> Column:
     """The surrogate in the mention's own format: its separators, its case."""
     chars, drawn = _chars(mention), _chars(surrogate)
     keeps = F.transform(chars, lambda c: F.when(c.rlike("[0-9A-Za-z]"), 1).otherwise(0))
+    skip = F.when(kind == "phone", F.aggregate(keeps, F.lit(0), lambda a, x: a + x) - F.size(drawn)).otherwise(0)
     before = lambda i: F.aggregate(F.slice(keeps, F.lit(1), i), F.lit(0), lambda a, x: a + x)
-    spaced = F.array_join(F.transform(chars, lambda c, i: F.when(keeps[i] == 1, F.coalesce(F.get(drawn, before(i)), c)).otherwise(c)), "")
+    spaced = F.array_join(F.transform(chars, lambda c, i: F.when(keeps[i] == 1, F.coalesce(F.get(drawn, before(i) - skip), c)).otherwise(c)), "")
     cased = F.array_join(F.zip_with(chars, drawn, lambda c, d: F.when(c.between("A", "Z"), F.upper(d)).otherwise(d)), "")
-    dotted = F.concat(F.substring_index(mention, " ", 1), F.substring(surrogate, F.length(F.substring_index(surrogate, " ", 1)) + 1, F.length(surrogate)))
-    return F.when(kind.isin("card", "ssn", "phone", "iban"), spaced).when(kind == "email", cased).when(kind == "person", dotted).otherwise(surrogate)
+    drawn_name = F.when(kind == "given", F.substring_index(surrogate, " ", 1)).otherwise(surrogate)
+    large = F.when((mention == F.upper(mention)) & (F.length(mention) > 1), F.upper(drawn_name)).otherwise(F.array_join(F.transform(F.split(drawn_name, "-"), F.initcap), "-"))
+    name = F.concat(large, F.regexp_extract(mention, "['’]s$", 0))
+    return F.when(kind.isin("card", "ssn", "phone", "iban"), spaced).when(kind == "email", cased).when(kind.isin("surname", "given"), name).otherwise(surrogate)
 
 
 def surrogate_table(entities: DataFrame, key: str, most: int = 40) -> DataFrame:
     """(kind, norm, surrogate) of distinct entities (kind, norm): no two alike, and none that is itself an entity."""
     entities = written(entities, "entities")
     drawn = written(entities.withColumn("attempt", F.lit(0)).withColumn("surrogate", _surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), key)), "surrogates")
-    taken = entities.select("kind", F.col("norm").alias("surrogate"), F.lit(True).alias("real"))
+    taken = entities.select("kind", _without_gender(F.col("kind"), F.col("norm")).alias("surrogate")).distinct().withColumn("real", F.lit(True))
     for _ in range(most):
         first = drawn.groupBy("kind", "surrogate").agg(F.min("norm").alias("first"), F.count("*").alias("n"))
         clash = first.join(taken, ["kind", "surrogate"], "left").filter("n > 1 or real").select("kind", "surrogate", F.when(F.col("real").isNull(), F.col("first")).alias("first"))
@@ -212,11 +254,21 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     dirty = written(dirty, "texts-with-entities")  # so that the patterns run over each text once
     mentions = dirty.select("key", F.posexplode("found").alias("pos", "mention")).distinct()
     kind = _type(F.col("mention"))
-    mentions = written(mentions.withColumn("kind", kind).withColumn("norm", _norm(F.col("kind"), F.col("mention"))), "mentions")
-    table = surrogate_table(mentions.filter("kind <> 'none'").select("kind", "norm").distinct(), key)
-    out = F.coalesce(_rendered(F.col("kind"), F.col("mention"), F.col("surrogate")), "mention")
-    placed = mentions.join(table, ["kind", "norm"], "left").select("key", "kind", F.struct("pos", out.alias("out")).alias("at"))
-    by_doc = placed.groupBy("key").agg(F.transform(F.sort_array(F.collect_list("at")), lambda x: x["out"]).alias("out"), F.count_if(F.col("kind") != "none").alias("n"))
+    mentions = mentions.withColumn("kind", kind).withColumn("norm", _norm(F.col("kind"), F.col("mention")))
+    pieces = written(mentions.select("key", "pos", F.explode(_pieces(F.col("kind"), F.col("norm"), F.col("mention"))).alias("x")).select("key", "pos", "x.*"), "mentions")
+    # a given name behind Dr or Prof has the gender that the same name has elsewhere
+    of = F.col("norm").substr(F.lit(3), F.length("norm"))
+    sexes = pieces.filter("kind = 'given' and norm not like 'n|%'").groupBy(of.alias("who")).agg(F.max(F.substring("norm", 1, 1)).alias("sex"))
+    open_ = pieces.filter("kind = 'given' and norm like 'n|%'").select("norm").distinct().join(sexes, of == F.col("who")).select(F.col("norm").alias("open"), F.concat_ws("|", "sex", "who").alias("known"))
+    pieces = pieces.join(open_, (F.col("kind") == "given") & (F.col("norm") == F.col("open")), "left").withColumn("norm", F.coalesce("known", "norm")).drop("open", "known")
+    table = surrogate_table(pieces.filter("kind not in ('none', 'initial')").select("kind", "norm").distinct(), key)
+    letter = F.chr(65 + F.pmod(F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("initial"), "norm"), 256), 1, 4), 16, 10).cast("int"), F.lit(26)))
+    initial = F.when((F.col("kind") == "initial") & F.col("piece").rlike("^[A-Z]"), F.concat(letter, F.substring("piece", 2, 1)))
+    out = F.coalesce(initial, _rendered(F.col("kind"), F.col("piece"), F.col("surrogate")), "piece")
+    placed = pieces.join(table, ["kind", "norm"], "left").select("key", "pos", (F.col("kind") != "none").alias("is"), F.struct("at", out.alias("out")).alias("at"))
+    words = lambda c: F.transform(F.sort_array(F.collect_list(c)), lambda x: x["out"])
+    whole = placed.groupBy("key", "pos").agg(F.array_join(words("at"), " ").alias("out"), F.max("is").alias("is")).select("key", "is", F.struct("pos", "out").alias("at"))
+    by_doc = whole.groupBy("key").agg(words("at").alias("out"), F.count_if("is").alias("n"))
     parts = F.split("old", COMBINED, -1)
     text = F.array_join(F.zip_with(parts, F.concat("out", F.array(F.lit(""))), lambda p, o: F.concat(p, o)), "")
     done = dirty.join(by_doc, "key").select("row", text.alias("new"), "n")

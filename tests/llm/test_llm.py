@@ -161,6 +161,20 @@ def test_shapes_of_personal_data(spark):
     assert all((out[len(found) + i].text, out[len(found) + i].n_entities) == (f"so {t}, then", 0) for i, t in enumerate(stays))
 
 
+def test_persons_without_titles(spark):
+    texts = ["Mr John Smith; Mister John Smith; Mr Smith's; Dr John Smith; MISS", "Mrs Smith; Herr SMITH; Mr Paul Smith", "call +1 (988) 555-2485; or 988 555 2485; or 788 555 2485"]
+    people = [f"{t} {chr(65 + i % 26)}{'abcdefghij'[i // 26]}x Smith" for i in range(60) for t in ("Herr", "Mr")]
+    out = [r.text for r in pii.pseudonymise(spark.createDataFrame([*enumerate(texts), *enumerate(people, 10)], "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    one, other = (t.split("; ") for t in out[:2])
+    given, smith = one[0].split(" ")[1:]
+    assert [*one[1:4]] == [f"Mister {given} {smith}", f"Mr {smith}'s", f"Dr {given} {smith}"] and "Smith" not in "".join(out)
+    assert other[:2] == [f"Mrs {smith}", f"Herr {smith.upper()}"] and other[2].split(" ")[2] == smith and other[2].split(" ")[1] != given
+    a, b, c = (re.sub("[^0-9]", "", x) for x in out[2].split(";"))
+    assert a == "1" + b and c[1:] == b[1:] and "5552485" not in b and b != c
+    drawn = [t.split(" ", 1)[1] for t in out[3:]]
+    assert drawn[::2] == drawn[1::2] and len({*drawn, f"{given} {smith}"}) == 61  # one title or another, 60 people with one surname
+
+
 # sharding
 
 
