@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curralis.llm.common import written
+from curralis.llm.common import ascii_lower, written
 
 #: Bits of a fingerprint (the head of the SHA-256); of these the first SEGMENT_BITS choose the filter's segment.
 BITS, SEGMENT_BITS = 62, 10
@@ -170,5 +170,7 @@ def exact_groups(docs: DataFrame, bits: int = BITS, segment_bits: int = SEGMENT_
 
 def drop_exact(docs: DataFrame) -> DataFrame:
     """docs without the rows that an equal text of a larger doc_id stands for; columns stay."""
-    gone = exact_groups(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, docs.doc_id.eqNullSafe(gone.doc_id), "left_anti")
+    gone = exact_groups(docs).filter("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_of")).distinct()
+    # by row, not by doc_id alone: other texts under the same doc_id, or under none, are documents of their own
+    of = F.sha2(ascii_lower(F.coalesce(docs.text.cast("string"), F.lit(""))), 256)
+    return docs.join(gone, docs.doc_id.eqNullSafe(F.col("gone_id")) & (of == F.col("gone_of")), "left_anti")

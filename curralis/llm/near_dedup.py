@@ -1,18 +1,19 @@
 """Near-duplicate detection: MinHash banding, signature verification, exact confirmation, star-contraction components.
 
 1. Every document's distinct word shingles are hashed to 64 bits; documents of equal sets collapse to one class, named
-   by its smallest doc_id.
+   by the head of its set's digest, so that different texts under one doc_id are different classes.
 2. BANDS x ROWS universal hash minima per class; classes that share a band's key meet in its bucket. A pair of
    similarity 0.8 misses all buckets with a probability of 1.3e-7, one of 0.85 with 6e-11.
 3. Each bucket first offers its members against its smallest one (linear in its size). What the signature leaves
    possible (SLACK below the threshold: over five standard deviations) is confirmed on the full sets.
-4. Components by alternating large-star and small-star. Only members of a bucket that are still in different components can matter to
+4. Components by alternating large-star and small-star, named at the end by their smallest doc_id. Only members of a bucket that are still in different components can matter to
    the result, so those are compared next: small buckets as pairs, large ones block by block
    inside tasks, on signatures and full sets, which return only links that join two components.
 
 Defined cases: a null text or one without words has no set and is linked with nothing; fewer words than a shingle's
 count as one shingle; equal texts, ties and repeated rows share a class, as their sets are equal; rows without a
-doc_id are passed over by exact numbers (they get a null component and stay). Other columns are not read.
+doc_id are passed over (they get a null component and stay), save for those whose set is that of a document with an id: they are
+copies of it. Rows are dropped by doc_id and text, so that others with the same doc_id, or with none, stay. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -91,19 +92,29 @@ def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= SENT else ids, "doc", "left_semi")
 
 
+def _key(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
+def _digest():
+    """Tells apart the texts that share a doc_id."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256), 1, 32))
+
+
 def classes_of(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, sig) of every document; set_key and sig are null where there is no set."""
+    """(doc_id, n_shingles, set_key, sig, digest of the text) of every document; set_key and sig are null where there is no set."""
 
     def task(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 sets = shingle_sets(part.column(1).to_pylist(), width)
-                keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                keys = [_key(s) if len(s) else None for s in sets]
                 sigs = [signature(s).tobytes() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "set_key", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), part.column(2)], names=["doc_id", "n_shingles", "set_key", "sig", "digest"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(task, "doc_id long, n_shingles long, set_key binary, sig binary")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _digest().alias("digest"))
+    return rows.mapInArrow(task, "doc_id long, n_shingles long, set_key binary, sig binary, digest binary")
 
 
 def _buckets(reps: DataFrame) -> DataFrame:
@@ -156,18 +167,20 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     return pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(task, "a long, b long")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(doc, shingles) of the documents whose doc_id is in ids (doc)."""
+def _sets(docs: DataFrame, reps: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(doc, shingles) of the classes in ids (doc), from the documents that name them in reps (doc, name)."""
 
     def task(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1).to_pylist(), width)], pa.binary())], names=["doc", "shingles"])
+                sets = [s for s in shingle_sets(part.column(1).to_pylist(), width) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(_key(s)[:8], "big", signed=True) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string"))
-    # a doc_id names one text; of several rows with it any may stand for the others only if they are equal
-    return _only(rows, ids).mapInArrow(task, "doc long, shingles binary").dropDuplicates(["doc"])
+    names = _only(reps.select("doc", "name"), ids).select(F.col("name").alias("doc")).distinct()
+    # a doc_id may name several texts: those of other classes are left out by the joins that follow
+    return _only(rows, names).mapInArrow(task, "doc long, shingles binary").dropDuplicates(["doc"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -247,12 +260,12 @@ def _between(rows: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
     return lone.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInArrow(block, "a long, b long")
 
 
-def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of docs: components of den * |intersection| >= num * |union|."""
+def _groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """near_groups, and the digest of each row's text."""
     threshold = num / den
     rows = written(classes_of(docs, width), "shingle-classes")
     known = rows.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
-    reps = written(known.groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig")), "classes")
+    reps = written(known.groupBy("set_key").agg(F.min("doc_id").alias("name"), F.first("sig").alias("sig")).withColumn("doc", F.conv(F.hex(F.substring("set_key", 1, 8)), 16, -10).cast("long")), "classes")
     sigs = reps.select("doc", "sig")
     buckets = _buckets(reps)
     heads = buckets.groupBy("bk").agg(F.min("doc").alias("head"), F.count("*").alias("m")).filter("m > 1")
@@ -260,7 +273,7 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100)
 
     def confirmed(pairs, name):
         likely = written(_likely(written(pairs.distinct(), f"pairs-{name}"), sigs, threshold), f"likely-{name}")
-        return written(_confirmed(likely, _sets(docs, _ends(likely), width), num, den), f"links-{name}")
+        return written(_confirmed(likely, _sets(docs, reps, _ends(likely), width), num, den), f"links-{name}")
 
     links = confirmed(shared.filter("doc <> head").select(F.col("head").alias("a"), F.col("doc").alias("b")), "heads")
     comps = components(links)
@@ -269,17 +282,23 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100)
     x, y = few.select("bk", F.col("doc").alias("a"), F.col("comp").alias("ca")), few.select("bk", F.col("doc").alias("b"), F.col("comp").alias("cb"))
     more = confirmed(x.join(y, "bk").filter("ca <> cb and a < b").select("a", "b"), "small")
     ids = written(big.select("doc").distinct(), "straggler-ids")
-    held = _only(sigs, ids).join(_sets(docs, ids, width), "doc")
+    held = _only(sigs, ids).join(_sets(docs, reps, ids, width), "doc")
     more = more.union(written(_between(big, held, num, den), "links-between"))
     if not more.isEmpty():
         comps = components(links.union(more))
-    named = reps.select("set_key", "doc").join(comps, "doc", "left").select("set_key", F.coalesce("comp", "doc").alias("component_id"))
+    named = reps.select("set_key", "doc", "name").join(comps, "doc", "left").select("set_key", "name", F.coalesce("comp", "doc").alias("comp"))
+    named = named.join(named.groupBy("comp").agg(F.min("name").alias("component_id")), "comp").select("set_key", "component_id")
     out = rows.join(named, "set_key", "left")
     comp = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))
+    return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"), "digest")
+
+
+def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of docs: components of den * |intersection| >= num * |union|."""
+    return _groups(docs, width, num, den).drop("digest")
 
 
 def drop_near(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs with one document of each component, that with the smallest doc_id; columns stay."""
-    gone = near_groups(docs, width, num, den).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, docs.doc_id.eqNullSafe(gone.doc_id), "left_anti")
+    gone = _groups(docs, width, num, den).filter("not kept").select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_of")).distinct()
+    return docs.join(gone, docs.doc_id.eqNullSafe(F.col("gone_id")) & (_digest() == F.col("gone_of")), "left_anti")

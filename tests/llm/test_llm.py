@@ -271,6 +271,17 @@ def test_star_components(spark):
     assert all(found[i] == 0 for i in [*range(1, 51), 100]) and found[201] == found[202] == 200
 
 
+def test_rows_are_dropped_by_text_too(spark):
+    words = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [(5, words("a")), (None, words("a")), (None, words("b")), (None, words("c")), (9, words("a")), (9, words("d")), (7, words("d") + " x"), (9, words("e")), (3, words("f"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda df: sorted((r.doc_id or 0, r.text) for r in df.collect())
+    left = lambda *gone: sorted((i or 0, t) for n, (i, t) in enumerate(rows) if n not in gone)
+    assert key(exact_dedup.drop_exact(docs)) == left(0, 1)  # of a: 9 stays
+    assert key(near_dedup.drop_near(docs)) == left(1, 4, 5)  # of a: 5 stays; of d: 7 stays, and so do the other texts of 9
+    assert len({r.component_id for r in near_dedup.near_groups(docs.filter("doc_id = 9")).collect()}) == 1
+
+
 # lines
 
 
