@@ -430,4 +430,4 @@ def contains_target(spark, sf_dir):
 def justified_stops(spark, sf_dir):
     g = graph(spark, sf_dir)
     stops = navigation.learning_path(g, "course", labels=("Course",)).filter("depth > 0").join(g.of("Concept").select("key"), "key", "left_semi")
-    return readings.justification(g, stops.select("root", "key"), 3)
+    return readings.justification(g, stops.select("root", "key"))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from curralis.operators.closure import bfs, partonomy, reversed_edges
+from curralis.operators.closure import partonomy, reversed_edges
 from curralis.operators.components import longest_path_steps
+from curralis.plans.lineage import settled
 from curralis.schema import Graph
 
 #: Order in which a node's connections are listed.
 CONNECTION_ORDER = ("PART_OF", "HAS_PREREQUISITE", "SPECIALIZES", "TEACHES_CONCEPT", "REQUIRES_CONCEPT", "IS_ABOUT", "HAS_RESOURCE_TYPE")
-MAX_CHAIN, CLUSTER, FAR_NODES = 7, 14, 10
+CLUSTER, FAR_NODES = 14, 10
 
 
 def documents_of_edges(graph: Graph) -> DataFrame:
@@ -85,14 +86,30 @@ def contains_target(graph: Graph, stops: DataFrame) -> DataFrame:
     return stops.join(up, ["root", "key"], "left").withColumn("contains", F.coalesce("contains", F.lit(False)))
 
 
-def justification(graph: Graph, stops: DataFrame, max_depth: int = MAX_CHAIN) -> DataFrame:
-    """(root, stop, hops): steps of the shortest chain over PART_OF, TEACHES_CONCEPT and HAS_PREREQUISITE, in either direction, from root to stop, the last one a prerequisite."""
+def justification(graph: Graph, stops: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(root, stop, hops): steps of the shortest chain over PART_OF, TEACHES_CONCEPT and HAS_PREREQUISITE, in either direction, from root to stop, the last one a prerequisite.
+
+    Without max_depth a root is followed until all its stops are justified or nothing new is reached.
+    """
     edges = graph.links("PART_OF", "TEACHES_CONCEPT", "HAS_PREREQUISITE").select("source", "target")
-    both = edges.union(reversed_edges(edges).select("source", "target"))
-    near = bfs(stops.select("root", F.col("root").alias("node")), both, max_depth - 1)
+    both = settled(edges.union(reversed_edges(edges).select("source", "target")).distinct())
     last = graph.links("HAS_PREREQUISITE").select(F.col("source").alias("node"), F.col("target").alias("stop"))
-    hops = near.join(last, "node").join(stops.select("root", F.col("key").alias("stop")), ["root", "stop"], "left_semi")
-    return hops.groupBy("root", "stop").agg((F.min("depth") + 1).alias("hops"))
+    wanted = settled(stops.select("root", F.col("key").alias("stop")).distinct())
+    level = settled(wanted.select("root", F.col("root").alias("node")).distinct())
+    seen, out, depth = level, None, 0
+    while True:
+        depth += 1
+        found = settled(level.join(last, "node").select("root", "stop").distinct().join(wanted, ["root", "stop"], "left_semi"))
+        hops = found.withColumn("hops", F.lit(depth))
+        out = hops if out is None else out.unionByName(hops)
+        if depth == max_depth:
+            return out
+        wanted = settled(wanted.join(found, ["root", "stop"], "left_anti"))
+        ahead = level.join(wanted.select("root").distinct(), "root", "left_semi").join(both, F.col("node") == both.source).select("root", F.col("target").alias("node")).distinct()
+        level = settled(ahead.join(seen, ["root", "node"], "left_anti"))
+        if level.isEmpty():
+            return out
+        seen = seen.unionByName(level)
 
 
 def previous_courses(graph: Graph, starts: DataFrame | None = None) -> DataFrame:

@@ -194,3 +194,22 @@ def test_readings(spark, graph):
     assert [tuple(r) for r in readings.previous_courses(graph, start(spark, "z")).collect()] == [("z", "x", "c3")]
     via = {r.key: r.via for r in readings.prerequisites_by_depth(graph, navigation.concept_prerequisites(graph, start(spark, "c2"))).collect()}
     assert via == {"c1": "c2", "c4": "c2", "c3": "c1"}
+
+
+def test_justified_stops_at_any_distance(spark):
+    labels = {"k": "Course", "lone": "Concept", "other": "Concept", **{f"n{i}": "Concept" for i in range(14)}}
+    links = [("TEACHES_CONCEPT", "k", "n0"), ("HAS_PREREQUISITE", "n0", "n13"), ("HAS_PREREQUISITE", "lone", "other"), *[("HAS_PREREQUISITE", f"n{i}", f"n{i + 1}") for i in range(12)]]
+    near, front, expected = {"k": 0}, ["k"], {}
+    while front:
+        here = front.pop(0)
+        for _, a, b in links:
+            for x, y in ((a, b), (b, a)):
+                if x == here and y not in near:
+                    near[y] = near[here] + 1
+                    front.append(y)
+    for t, a, b in links:
+        if t == "HAS_PREREQUISITE" and a in near:
+            expected[b] = min(expected.get(b, 99), near[a] + 1)
+    stops = spark.createDataFrame([("k", n) for n in labels if n != "k"], "root string, key string")
+    found = {r.stop: r.hops for r in readings.justification(build(spark, labels, links), stops).collect()}
+    assert found == expected and found["n12"] == 13 and "other" not in found
