@@ -213,3 +213,11 @@ def test_justified_stops_at_any_distance(spark):
     stops = spark.createDataFrame([("k", n) for n in labels if n != "k"], "root string, key string")
     found = {r.stop: r.hops for r in readings.justification(build(spark, labels, links), stops).collect()}
     assert found == expected and found["n12"] == 13 and "other" not in found
+
+
+def test_greedy_matching_takes_every_part(spark, monkeypatch):
+    from curralis import catalogue
+
+    monkeypatch.setattr(evaluate, "greedy_match", lambda items, gold: items)
+    parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    assert catalogue.QUERIES["greedy_matching"](spark, "/root/testdata/sf0.001").count() == parts.count()
