@@ -5,7 +5,8 @@ by length. Lengths are integers up to the capacity, so the instance is a histogr
 as its counts say, however many pieces there are. Martello-Toth reduction fixes sets that dominate every other set
 with the same item: an exact complement, an item that nothing fits, or the largest partner where no two (or no better two)
 others fit. What is left is packed best fit, longest first. The plan is ranges of ranks within a length, and each piece
-finds its place by its rank.
+finds its place by its rank. A tokenizer's merges are computed by tiktoken where that gives the same ids (class _Merges);
+all other words go to the tokenizers library itself.
 
 Defined cases: a null or empty text is the closing token alone; equal lengths are told apart by doc_id and piece;
 repeated rows are packed each; an empty table gives an empty result. Other columns are not read.
@@ -13,6 +14,7 @@ repeated rows are packed each; an empty table gives an empty result. Other colum
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -20,6 +22,8 @@ from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
+import regex
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -35,16 +39,82 @@ _SEPARATORS = "\x1c\x1d\x1e\x1f"
 _words: dict[str, WordTable] = {}
 
 
+class _Merges:
+    """Token ids of a word of a lower-cased BPE with word ends, computed by tiktoken's merge loop instead of the library's.
+
+    A byte that no text holds stands for the word's end; its pair with each last byte has the lowest rank, as the library joins
+    the two before all merges. tiktoken merges any neighbours whose joint bytes are a token, the library the listed pair of it:
+    in a trained vocabulary these are the same, as the merges inside a token's span come in the order of its own merges.
+    """
+
+    END = b"\xff"
+    SUFFIX = "</w>"
+    #: What the tokenizer must do before its merges for this to hold.
+    NORMALIZERS = ("NFC", "Replace", "Lowercase")
+    PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+    #: Characters below this are composed already, and every Unicode version knows them alike.
+    SURE = "\u0250"
+
+    def __init__(self, model: dict, limit: int):
+        vocab = model["vocab"]
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in a token's name
+        hidden = [b for b in range(256) if b not in set(shown)]
+        chars = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+        byte = {c: b for b, c in chars.items()}
+        names = [chars[b] for b in range(256)] + [chars[b] + self.SUFFIX for b in range(256)]
+        names += ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        raw = lambda n: bytes(map(byte.__getitem__, n.removesuffix(self.SUFFIX))) + (self.END if n.endswith(self.SUFFIX) else b"")
+        ranks = {raw(n): k for k, n in enumerate(names)}
+        if len(ranks) != len(names):
+            raise ValueError("two merges give the same token")
+        self.encode = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.ids, self.limit, self.table = [vocab[n] for n in names], limit, {}
+        self.split = regex.compile(self.PATTERN).findall
+
+    @classmethod
+    def of(cls, tokenizer: Tokenizer, limit: int) -> _Merges | None:
+        """For tokenizers of this kind, or None."""
+        kind = json.loads(tokenizer.to_str())
+        model, pre = kind["model"], kind["pre_tokenizer"] or {}
+        steps = tuple(n["type"] for n in (kind["normalizer"] or {}).get("normalizers", ()))
+        first = next(iter(pre.get("pretokenizers", ())), {})
+        fits = model["type"] == "BPE" and model["end_of_word_suffix"] == cls.SUFFIX and model["continuing_subword_prefix"] is None and not (model["dropout"] or model["ignore_merges"])
+        if not fits or steps != cls.NORMALIZERS or (first.get("pattern"), first.get("behavior"), first.get("invert")) != ({"Regex": cls.PATTERN}, "Removed", True):
+            return None
+        if any("<|" not in t["content"] for t in kind["added_tokens"]) or [p["type"] for p in pre["pretokenizers"]] != ["Split", "ByteLevel"]:
+            return None
+        return cls(model, limit)
+
+    def sure(self, word: str) -> bool:
+        """Whether a word (without white space) may be encoded here: others go to the library."""
+        return (word.isascii() or (max(word) < self.SURE and "\u0130" not in word)) and "<|" not in word
+
+    def ids_of(self, word: str) -> bytes:
+        out = []
+        for piece in self.split(word.lower()):
+            if (held := self.table.get(piece)) is None:
+                if len(self.table) >= self.limit:
+                    self.table.clear()
+                held = self.table[piece] = array("I", map(self.ids.__getitem__, self.encode(piece.encode() + self.END))).tobytes()
+            out.append(held)
+        return b"".join(out)
+
+
 class WordTable:
     """Token ids of whole texts, from those of each distinct word. Holds for tokenizers that drop white space and never join over it."""
 
     def __init__(self, path: str, limit: int = TABLE):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.merges = _Merges.of(self.tokenizer, limit)
         self.table: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False)):
+        if self.merges:
+            sure = self.merges.sure
+            self.table.update((w, self.merges.ids_of(w)) for w in words if sure(w))
+            words = [w for w in words if not sure(w)]
+        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
             self.table[w] = array("I", e.ids).tobytes()
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
@@ -53,8 +123,8 @@ class WordTable:
         cut = [[] if k in odd else t.split() for k, t in enumerate(texts)]
         if new := set(filterfalse(self.table.__contains__, chain.from_iterable(cut))):
             if len(self.table) + len(new) > self.limit:
-                self.table.clear()
-                new = set().union(*cut)
+                # begins anew with the words met just now: frequent ones are among them
+                self.table = {w: self.table[w] for w in set().union(*cut) - new}
             self._learn(list(new))
         get = self.table.__getitem__
         return [array("I", self.tokenizer.encode(texts[k], add_special_tokens=False).ids).tobytes() if k in odd else b"".join(map(get, c)) for k, c in enumerate(cut)]
