@@ -16,13 +16,15 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import unicodedata
 import zlib
 from array import array
 from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,8 +36,6 @@ from curralis.llm.common import written
 TABLE = 600_000
 #: A length's pieces are ranked in so many parts, so that one length may hold most of the pieces.
 SALTS = 256
-#: str.split() also splits at these, the tokenizer doesn't: such texts are encoded whole.
-_SEPARATORS = "\x1c\x1d\x1e\x1f"
 _words: dict[str, WordTable] = {}
 
 
@@ -54,6 +54,8 @@ class _Merges:
     PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
     #: Characters below this are composed already, and every Unicode version knows them alike.
     SURE = "\u0250"
+    #: Stands for the place where a word ends.
+    NONE = b"\xff\xff\xff\xff"
 
     def __init__(self, model: dict, limit: int):
         vocab = model["vocab"]
@@ -68,8 +70,10 @@ class _Merges:
         if len(ranks) != len(names):
             raise ValueError("two merges give the same token")
         self.encode = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.ids, self.limit, self.table = [vocab[n] for n in names], limit, {}
-        self.split = regex.compile(self.PATTERN).findall
+        self.ids, self.limit, self.table = np.array([vocab[n] for n in names], np.uint32), limit, {"\n": self.NONE}
+        known = [chr(c) for c in range(33, ord(self.SURE))]
+        letters, numbers = ("".join(re.escape(c) for c in known if unicodedata.category(c)[0] == x) for x in "LN")
+        self.split = re.compile(self.PATTERN.replace("\\p{L}", letters).replace("\\p{N}", numbers) + "|\n").findall
 
     @classmethod
     def of(cls, tokenizer: Tokenizer, limit: int) -> _Merges | None:
@@ -86,18 +90,26 @@ class _Merges:
         return cls(model, limit)
 
     def sure(self, word: str) -> bool:
-        """Whether a word (without white space) may be encoded here: others go to the library."""
-        return (word.isascii() or (max(word) < self.SURE and "\u0130" not in word)) and "<|" not in word
+        """Whether a word (without ASCII white space) may be encoded here: others go to the library."""
+        return word.isprintable() and (word.isascii() or (max(word) < self.SURE and "\u0130" not in word)) and "<|" not in word
+
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """The ids of each of these words."""
+        pieces = self.split("\n".join([*words, ""]).lower())  # the line break ends a word
+        if new := list(set(pieces) - self.table.keys()):
+            if len(self.table) + len(new) > self.limit:
+                self.table = {"\n": self.NONE}
+                new = list(set(pieces) - self.table.keys())
+            found = [self.encode(q.encode() + self.END) for q in new]
+            self.table.update(zip(new, _cut(self.ids[np.fromiter(chain.from_iterable(found), np.int64)], np.cumsum(np.fromiter(map(len, found), np.int64, len(found))))))
+        flat = np.frombuffer(b"".join(map(self.table.__getitem__, pieces)), np.uint32)
+        real = flat != 0xFFFFFFFF
+        return _cut(flat[real], np.cumsum(real)[~real])
 
-    def ids_of(self, word: str) -> bytes:
-        out = []
-        for piece in self.split(word.lower()):
-            if (held := self.table.get(piece)) is None:
-                if len(self.table) >= self.limit:
-                    self.table.clear()
-                held = self.table[piece] = array("I", map(self.ids.__getitem__, self.encode(piece.encode() + self.END))).tobytes()
-            out.append(held)
-        return b"".join(out)
+
+def _cut(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    data, stops = ids.tobytes(), (4 * ends).tolist()
+    return [data[a:b] for a, b in zip([0, *stops], stops)]
 
 
 class WordTable:
@@ -111,23 +123,35 @@ class WordTable:
 
     def _learn(self, words: list[str]) -> None:
         if self.merges:
-            sure = self.merges.sure
-            self.table.update((w, self.merges.ids_of(w)) for w in words if sure(w))
-            words = [w for w in words if not sure(w)]
+            sure = list(filter(self.merges.sure, words))
+            self.table.update(zip(sure, self.merges.ids_of(sure)))
+            words = list(filterfalse(self.merges.sure, words)) if len(sure) < len(words) else []
         for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
             self.table[w] = array("I", e.ids).tobytes()
 
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        odd = {k for k, t in enumerate(texts) if any(c in t for c in _SEPARATORS)}
-        cut = [[] if k in odd else t.split() for k, t in enumerate(texts)]
-        if new := set(filterfalse(self.table.__contains__, chain.from_iterable(cut))):
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in a row, and where each text's begin and the last one's end. Words meet the table once a batch."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        found = lists.flatten().dictionary_encode()
+        words, at = found.dictionary.to_pylist(), found.indices.to_numpy()
+        if new := list(filterfalse(self.table.__contains__, words)):
             if len(self.table) + len(new) > self.limit:
                 # begins anew with the words met just now: frequent ones are among them
-                self.table = {w: self.table[w] for w in set().union(*cut) - new}
-            self._learn(list(new))
-        get = self.table.__getitem__
-        return [array("I", self.tokenizer.encode(texts[k], add_special_tokens=False).ids).tobytes() if k in odd else b"".join(map(get, c)) for k, c in enumerate(cut)]
+                self.table = {w: held for w in words if (held := self.table.get(w)) is not None}
+            self._learn(new)
+        ids = list(map(self.table.__getitem__, words))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        ids, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        each = sizes[at]
+        ends = np.append(0, np.cumsum(each))
+        out = ids[np.repeat(first[at] - ends[:-1], each) + np.arange(ends[-1])]
+        offsets = lists.offsets.to_numpy()
+        return out, ends[offsets - offsets[0]]
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        ids, ends = self.encode_all(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(ends, ends[1:])]
 
 
 def words_of(path: str) -> WordTable:
@@ -243,13 +267,14 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
     def task(batches):
         tool = words_of(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part, rows = batch.slice(at, 500), []
-                for doc_id, ids in zip(part.column(0).to_pylist(), tool.encode_many([t or "" for t in part.column(1).to_pylist()])):
-                    ids += end
-                    for k, a in enumerate(range(0, len(ids), 4 * capacity)):
-                        cut = ids[a : a + 4 * capacity]
-                        rows.append((doc_id, k, a // 4, len(cut) // 4, zlib.crc32(cut)))
+            rows = []
+            ids, ends = tool.encode_all(batch.column(1))
+            for doc_id, start, stop in zip(batch.column(0).to_pylist(), ends.tolist(), ends[1:].tolist()):
+                whole = ids[start:stop].tobytes() + end
+                for k, a in enumerate(range(0, len(whole), 4 * capacity)):
+                    cut = whole[a : a + 4 * capacity]
+                    rows.append((doc_id, k, a // 4, len(cut) // 4, zlib.crc32(cut)))
+            if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if k == 1 else pa.int64()) for k, x in enumerate(zip(*rows))], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(task, "doc_id long, piece int, start long, length long, ids_crc32 long")

@@ -340,8 +340,8 @@ def test_words_equal_the_library():
             assert np.frombuffer(ids, np.uint32).tolist() == tool.tokenizer.encode(t, add_special_tokens=False).ids, t
     words = ["".join(rng.choice("aeioutnsrhldcüéßÉØđǅ'-.!17²½ªº") for _ in range(rng.randint(1, 14))) for _ in range(20_000)]
     assert tool.merges and sum(map(tool.merges.sure, words)) == len(words)
-    for w, e in zip(words, tool.tokenizer.encode_batch(words, add_special_tokens=False)):
-        assert np.frombuffer(tool.merges.ids_of(w), np.uint32).tolist() == e.ids, w
+    for w, ids, e in zip(words, tool.merges.ids_of(words), tool.tokenizer.encode_batch(words, add_special_tokens=False)):
+        assert np.frombuffer(ids, np.uint32).tolist() == e.ids, w
     other = packing._Merges.of(tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 10)
     assert other is None  # another kind of tokenizer is left to the library
 
