@@ -7,7 +7,9 @@ Query blocks meet candidate blocks as pairs of bounded size; each pair gives its
 
 Defined cases: vectors that are null, or hold a null or a non-finite component, take no part; shorter vectors count as
 padded with zeros; ties go to the smaller id; rows with the query's own id are not its candidates; repeated rows are
-candidates each; rows without an id take no part. Components are integers whose products must fit in a long. An empty table gives an empty result.
+candidates each; a query id that stands in several rows is one query, with the greatest of their vectors; rows without an id take no
+part. Components are integers: where a score could exceed a long, ValueError is raised. An empty table gives an empty result.
+Columns besides vec_id and embedding are not read.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_DIMS, QUERY_ROWS, CANDIDATE_ROWS = 8, 1024, 1024
+BLOCK_DIMS, QUERY_ROWS, CANDIDATE_ROWS = 8, 4096, 1024
 _PAIR = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
@@ -53,11 +55,16 @@ def _tails(columns: np.ndarray, edges: list[int]) -> np.ndarray:
 def search_block(query_ids, queries: np.ndarray, ids: np.ndarray, columns: np.ndarray, k: int, block: int = BLOCK_DIMS) -> tuple[list, list, list]:
     """The k best of one candidate block for each query: query ids, candidate ids, scores. queries and columns are vertical."""
     dims, n = columns.shape
+    norms = [np.sqrt((x.astype(np.float64) ** 2).sum(axis=0)).max(initial=0) for x in (queries, columns)]
+    if norms[0] * norms[1] >= 2.0**62:
+        raise ValueError("scores may exceed a long")
+    if norms[0] * norms[1] < 2.0**52:  # partial sums are exact in doubles, whose products are much faster
+        queries, columns = queries.astype(np.float64), columns.astype(np.float64)
     order = np.argsort(-(columns.astype(np.float64) ** 2).sum(axis=1), kind="stable")  # heaviest dimensions first
     columns, queries = np.ascontiguousarray(columns[order]), queries[order]
     edges = list(range(block, dims, block)) + [dims]
     tails, query_tails = _tails(columns, edges), _tails(queries, edges)
-    first = queries[: edges[0]].T @ columns[: edges[0]] if dims else np.zeros((len(query_ids), n), np.int64)
+    first = queries[: edges[0]].T @ columns[: edges[0]] if dims else np.zeros((len(query_ids), n))
     out: tuple[list, list, list] = ([], [], [])
     for q, query_id in enumerate(query_ids):
         alive = np.flatnonzero(ids != query_id)
@@ -76,12 +83,13 @@ def search_block(query_ids, queries: np.ndarray, ids: np.ndarray, columns: np.nd
         best = np.lexsort((ids[alive], -scores))[:k]
         out[0].extend([query_id] * len(best))
         out[1].extend(ids[alive[best]].tolist())
-        out[2].extend(scores[best].tolist())
+        out[2].extend(scores[best].astype(np.int64).tolist())
     return out
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, query_rows: int = QUERY_ROWS, candidate_rows: int = CANDIDATE_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest inner products of each query (vec_id, v) over vectors (vec_id, v)."""
+    queries = queries.groupBy("vec_id").agg(F.max("v").alias("v"))
     blocks = lambda df, rows: max(1, -(-df.count() // rows))
     of_queries, of_vectors = blocks(queries, query_rows), blocks(vectors, candidate_rows)
     block = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(n)), F.lit(n)).cast("int")
