@@ -8,7 +8,9 @@ end of the file, and owns the records that start inside its range, reading past
 
 Defined cases: a null html is an empty payload; a null url is an empty target; rows that repeat a page_id and a payload
 are written as they are, each as the response or revisit its page_id is; a page_id of null is never the response that
-others refer to and always a response itself. Columns besides page_id, url and html are not read.
+others refer to and always a response itself; records of any length are read whole, over as many blocks as they take; ties and equal
+payloads refer to the smallest page_id; a member that is damaged raises ValueError, by its digest or by the manifest's count; an empty
+table gives no archive and no record. Columns besides page_id, url and html are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curralis.llm.common import shared_path
+from curralis.llm.common import shared_path, written
 
 MAGIC = b"\x1f\x8b\x08"
 #: Payloads under so many bytes are always stored in full.
@@ -67,28 +69,44 @@ def _member(page_id, url: str, payload: bytes, digest: str, refers_to, level: in
     return pack.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
 
 
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """folder with the scheme and authority that Spark would use for it, so that tasks open the same store as Spark does."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def _store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a qualified URI. Hadoop writes file:/x, and s3a where pyarrow says s3."""
+    uri = re.sub(r"^file:/(?!/)", "file:///", uri)
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", uri))
+
+
 def write(planned: DataFrame, folder: str, level: int = 4, roll_bytes: int = 1 << 30) -> DataFrame:
-    """Archives in folder, from rows of plan(); returns their manifest (path, bytes, records), itself kept in the shared folder."""
+    """Archives in folder, from rows of plan(); returns their manifest (path, bytes, records), itself kept in the shared folder.
+
+    path is the whole URI of an archive, with its scheme.
+    """
+    base = _qualified(planned.sparkSession, folder).rstrip("/")
 
     def task(batches):
-        store, root = pafs.FileSystem.from_uri(folder)
+        store, root = _store(base)
         store.create_dir(root, recursive=True)
         out, made = None, []
         for batch in batches:
             for row in batch.to_pylist():
                 if out is None:
-                    name = f"{root}/{uuid.uuid4().hex}.warc.gz"
-                    out, size, n = store.open_output_stream(name, compression=None), 0, 0
+                    name = f"{uuid.uuid4().hex}.warc.gz"
+                    out, size, n = store.open_output_stream(f"{root}/{name}", compression=None), 0, 0
                 member = _member(row["page_id"], row["url"] or "", row["payload"], row["payload_digest"], row["refers_to"], level)
                 out.write(member)
                 size, n = size + len(member), n + 1
                 if size >= roll_bytes:
                     out.close()
-                    made.append((name, size, n))
+                    made.append((f"{base}/{name}", size, n))
                     out = None
         if out is not None:
             out.close()
-            made.append((name, size, n))
+            made.append((f"{base}/{name}", size, n))
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made) if made else ([], [], []), (pa.string(), pa.int64(), pa.int64()))], names=["path", "bytes", "records"])
 
     manifest = planned.select("page_id", "url", "payload", "payload_digest", "refers_to").mapInArrow(task, "path string, bytes long, records long")
@@ -195,7 +213,7 @@ def read(archives: DataFrame, split_bytes: int = 64 << 20, payload: bool = True)
     def task(batches):
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                store, at = (pafs.LocalFileSystem(), path) if path.startswith("/") else pafs.FileSystem.from_uri(path)
+                store, at = (pafs.LocalFileSystem(), path) if path.startswith("/") else _store(path)
                 rows, size = [], 0
                 with store.open_input_file(at) as file:
                     for header, block in records_of(file, start, start + split_bytes):
@@ -219,6 +237,15 @@ def archives_in(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """pages written to archives in the shared folder and read back, without the payloads."""
+    """pages written to archives in the shared folder and read back, without the payloads; raises ValueError if a record is missing."""
     manifest = write(plan(pages), shared_path(pages.sparkSession, "warc"))
-    return read(manifest, payload=False).drop("payload")
+    return complete(read(manifest, payload=False), manifest).drop("payload")
+
+
+def complete(records: DataFrame, manifest: DataFrame) -> DataFrame:
+    """records, settled and counted against the manifest they were read by: a damaged member is no silently shorter result."""
+    records = written(records, "warc-records")
+    found, stored = records.count(), manifest.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    if found != stored:
+        raise ValueError(f"{found} records read, {stored} written: an archive is damaged")
+    return records
