@@ -31,9 +31,11 @@ from curralis.llm.common import written
 BANDS, ROWS, SEED, SLACK = 40, 5, 11, 0.15
 #: Buckets up to SMALL members are compared as pairs; larger ones in blocks of BLOCK members by STRAGGLERS.
 SMALL, BLOCK, STRAGGLERS = 16, 2048, 512
-#: Ids are broadcast up to this many (16 MB).
-SENT = 2_000_000
+#: Ids are broadcast up to this many (8 MB as numbers).
+SENT = 1_000_000
 TABLE = 250_000
+#: A bucket's rows meet what is known of their bucket in so many parts, so that a large one is no single task's.
+PARTS = 16
 _hashes: dict[bytes, int] = {}
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -142,6 +144,13 @@ def _likely(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(task, "a long, b long")
 
 
+def _of_buckets(rows: DataFrame, few: DataFrame) -> DataFrame:
+    """rows (bk, doc, ...) joined with few (bk, ...), a row per bucket of several members, which is sent to each part of its bucket."""
+    part = F.pmod(F.xxhash64("doc"), F.lit(PARTS)).cast("int")
+    every = few.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return rows.withColumn("part", part).join(every, ["bk", "part"]).drop("part")
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
 
@@ -206,7 +215,7 @@ def _open_buckets(rows: DataFrame, comps: DataFrame) -> DataFrame:
     rows = rows.join(comps, "doc", "left").select("bk", "doc", F.coalesce("comp", "doc").alias("comp"))
     each = rows.groupBy("bk", "comp").agg(F.count("*").alias("n"))
     open_ = each.groupBy("bk").agg(F.sum("n").alias("m"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    return rows.join(open_, "bk")
+    return _of_buckets(rows, open_)
 
 
 def _between(rows: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
@@ -216,7 +225,7 @@ def _between(rows: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
     in the first band that its documents share. Only links that join two components that were still apart in the block are returned.
     """
     counts = rows.groupBy("bk").agg(F.count_if(F.col("comp") != F.col("main")).alias("r"))
-    rows = rows.join(counts, "bk").join(held, "doc")
+    rows = _of_buckets(rows, counts).join(held, "doc")
     cm, cs = F.ceil(F.col("m") / BLOCK).cast("int"), F.ceil(F.col("r") / STRAGGLERS).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     key = lambda n: F.pmod(F.xxhash64("doc"), n).cast("int")
@@ -269,7 +278,7 @@ def _groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> D
     sigs = reps.select("doc", "sig")
     buckets = _buckets(reps)
     heads = buckets.groupBy("bk").agg(F.min("doc").alias("head"), F.count("*").alias("m")).filter("m > 1")
-    shared = written(buckets.join(heads, "bk"), "buckets")
+    shared = written(_of_buckets(buckets, heads), "buckets")
 
     def confirmed(pairs, name):
         likely = written(_likely(written(pairs.distinct(), f"pairs-{name}"), sigs, threshold), f"likely-{name}")
