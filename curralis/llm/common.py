@@ -28,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "curralis-shared")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

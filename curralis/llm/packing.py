@@ -283,7 +283,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
 def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> tuple[DataFrame, Plan]:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of docs, and the plan."""
     spark = docs.sparkSession
-    cut = written(pieces(docs, path, capacity, end_id).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")), "pieces")
+    cut = written(pieces(docs, path, capacity, end_id).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int")), "pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in cut.groupBy("length").count().collect():  # at most a row per length
         counts[length] = n

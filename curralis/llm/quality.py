@@ -8,8 +8,10 @@ logit is divided by a temperature fitted on rows kept out of its training, so th
 Training reads at most SAMPLE labelled rows, those with the smallest hash of doc_id: a bound on what is fitted, stated
 here; scoring reads every row. Word and mark vectors are of fixed size, so what is broadcast doesn't grow with the data.
 
-Defined cases: a null or empty text is scored too, as the zero vector; rows without labels of 0 or 1 don't train; with
-no or one class of labels to train on, every score is that class's share (0.5 without any); repeated rows are scored alike.
+Defined cases: a null or empty text is scored too, as the zero vector; texts of any length are scored whole; rows without labels of
+0 or 1 don't train; of several texts under one labelled doc_id the greatest trains, of several labels 1; with no or one class of labels to
+train on, every score is that class's share (0.5 without any); repeated rows are scored alike; an empty table stays empty; columns
+besides doc_id and text pass through, save for one named score, which the result replaces.
 """
 
 from __future__ import annotations
@@ -174,8 +176,9 @@ class QualityModel:
         """From docs (doc_id, text) and labels (doc_id, label), at most sample rows of them."""
         chosen = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
         chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")  # chosen: at most sample rows
-        rows = written(rows, "quality-sample")
+        rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # chosen: at most sample rows
+        # one text for each doc_id, so that rows are bounded however often ids repeat
+        rows = written(rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").alias("label")).select("text", "label"), "quality-sample")
         vectors = word_vectors(rows)
         spark, dims = docs.sparkSession, 2 * DIMS
         shared = spark.sparkContext.broadcast(vectors)
@@ -185,7 +188,7 @@ class QualityModel:
                 x = pooled([t or "" for t in b.column(0).to_pylist()], shared.value)
                 yield pa.RecordBatch.from_arrays([b.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["label", "x"])
 
-        found = sorted(rows.mapInArrow(pool, "label int, x binary").collect())  # at most sample rows, unless ids repeat
+        found = sorted(rows.mapInArrow(pool, "label int, x binary").collect())  # at most sample rows
         x = np.frombuffer(b"".join(r[1] for r in found), np.float32).reshape(-1, dims)
         y = np.array([r[0] for r in found], np.float32)
         order = np.random.default_rng(SEED).permutation(len(y))

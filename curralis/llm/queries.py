@@ -81,4 +81,25 @@ ORACLES = {
         WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
         FROM d WINDOW g AS (PARTITION BY text_sha256)""",
+    "op6_near_dedup": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')) END) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        r(doc_id, c) AS (SELECT doc_id, doc_id FROM w UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id),
+        k AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+        SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM k LEFT JOIN n USING (doc_id)""",
+    "op7_line_dedup": r"""
+        WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l, sha256(text) AS dg FROM documents),
+        x AS (SELECT doc_id, dg, l, unnest(range(1, len(l) + 1)) AS i FROM d),
+        h AS (SELECT doc_id, dg, l, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nx FROM x WHERE regexp_matches(l[i], '\S')),
+        w AS (SELECT doc_id, dg, i AS s, nx AS e, array_to_string(l[i:nx], chr(10)) AS body FROM h WHERE nx IS NOT NULL
+              UNION ALL SELECT doc_id, dg, i, i, l[i] FROM h WHERE len(regexp_extract_all(l[i], '\S+')) >= 50),
+        f AS (SELECT body, min({'doc_id': doc_id, 'dg': dg, 's': s, 'e': e}) AS f FROM w GROUP BY body HAVING count(*) > 1),
+        c AS (SELECT w.doc_id, CASE WHEN w.doc_id = f.doc_id THEN greatest(w.s, f.e + 1) ELSE w.s END AS s, w.e FROM w JOIN f USING (body)),
+        g AS (SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS i FROM c WHERE s <= e),
+        k AS (SELECT x.doc_id, string_agg(x.l[x.i], chr(10) ORDER BY x.i) AS text FROM x ANTI JOIN g ON g.doc_id = x.doc_id AND g.i = x.i GROUP BY x.doc_id)
+        SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text, (SELECT count(*) FROM g WHERE g.doc_id = d.doc_id) AS n_removed FROM d LEFT JOIN k USING (doc_id)""",
 }

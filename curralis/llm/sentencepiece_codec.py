@@ -6,7 +6,11 @@ segmented once by the library and the ids are joined back in the order of the te
 worker, bounded by TABLE chunks, and is kept from batch to batch. check_model() refuses a model whose pieces or
 normalisation don't allow this.
 
-Defined cases: a null or empty text has no ids and decodes to the empty text; texts of any length are cut whole.
+Decoding joins what each chunk's ids decode to: pieces are their own text, byte pieces of a chunk are decoded together by the
+library behind an anchor, and as no run of byte pieces crosses the marker that begins the next chunk, the whole is decode(ids).
+
+Defined cases: a null or empty text has no ids and decodes to the empty text; texts of any length are cut whole; repeated rows, ties and
+null ids are coded row by row; an empty table gives an empty result. Columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -82,9 +86,8 @@ class Codec:
         need = set().union(*cut)
         if new := need - self.ids.keys():
             if len(self.ids) + len(new) > self.limit:
-                self.ids.clear()
-                self.back.clear()
-                new = need
+                # begins anew with the chunks met just now: frequent ones are among them
+                self.ids, self.back = ({c: held[c] for c in need - new} for held in (self.ids, self.back))
             self._learn(list(new))
         ids, back = self.ids.__getitem__, self.back.__getitem__
         return [(",".join(map(ids, c)), "".join(map(back, c))[1:]) for c in cut]

@@ -4,8 +4,9 @@ A record's slot is a hash of its key alone and never changes. Bytes are summed p
 balanced by bytes, is stored with a version and edited when shards are added: only the slots that the map moves change
 their shard. What is collected is one row per slot, a fixed number however large the data.
 
-Defined cases: null texts have size HEAD; rows with a null key share a slot; repeated rows are placed one by one; an empty table gives
-an empty result and an even map. Other columns are not read.
+Defined cases: null texts have size HEAD; texts of any length are measured whole; rows with a null key are dealt by their text;
+repeated rows and ties are placed one by one, by doc_id and checksum; an empty table gives an empty result and an even map. Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ SLOTS = 8192
 HEAD = 16
 
 
-def slot_of(key, slots: int = SLOTS):
-    return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
+def slot_of(key, slots: int = SLOTS, without="text"):
+    """A slot by the key; rows without a key are dealt by their text, so that they are no hot slot."""
+    hash_ = F.when(F.col(key).isNull(), F.xxhash64(without)).otherwise(F.xxhash64(key))
+    return F.pmod(hash_, F.lit(slots)).cast("int")
 
 
 def balanced(sizes: dict[int, int], shards: int, slots: int = SLOTS) -> list[int]:

@@ -83,6 +83,21 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(empty(spark, "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_long_records_and_damage(spark):
+    rng = random.Random(8)
+    pages = spark.createDataFrame([(i, "u", "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=3_000_000 if i == 2 else 900)), "x") for i in range(6)], "page_id long, url string, html string, path string")
+    manifest = warc.write(warc.plan(pages), shared_path(spark, "test-warc"), level=1)
+    assert all(r.path.startswith("file:/") for r in manifest.collect())
+    whole = warc.complete(warc.read(manifest, split_bytes=1 << 19), manifest)
+    assert {(r.page_id, hashlib.sha256(r.payload).hexdigest()) for r in whole.collect()} == {(r.page_id, hashlib.sha256(r.html.encode()).hexdigest()) for r in pages.collect()}
+    path = re.sub("^file:/+", "/", manifest.first().path)
+    with open(path, "r+b") as file:
+        file.seek(max(m.start() for m in re.finditer(re.escape(warc.MAGIC), open(path, "rb").read(4000))) + 12)
+        file.write(b"\0\0\0\0\0\0")
+    with pytest.raises(Exception, match="damaged|payload"):
+        warc.complete(warc.read(manifest), manifest)
+
+
 # exact deduplication
 
 
@@ -176,6 +191,34 @@ def test_persons_without_titles(spark):
     assert drawn[::2] == drawn[1::2] and len({*drawn, f"{given} {smith}"}) == 61  # one title or another, 60 people with one surname
 
 
+def test_names_without_titles_and_checked_numbers(spark):
+    texts = ["Herr Braun met Karl Braun and Braun left. Mr. John Smith and Mr Smith; John Smith's, Smith, Smithson, Browne.", "Smith and Braun are not named here behind a title", "number 4041894974608796 and DE89 3704 0044 0532 0130 01",
+             "iban DE89 3704 0044 0532 0130 00 or GB29NWBK60161331926819, card 4041 8949 7460 8795 here", "Mr Smith " + "word " * 40_000 + "Smith"]
+    rows = [*enumerate(texts), (None, texts[0]), (None, texts[0]), (7, texts[0])]
+    found = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()
+    out = {r.doc_id: r for r in found}
+    assert sorted(r.doc_id is None for r in found) == [False] * 6 + [True] * 2 and out[None].text == out[7].text == out[0].text
+    brown, left, mr = re.fullmatch(r"Herr (\w+) met Karl (\w+) and (\w+) left\. Mr\. .*", out[0].text).groups()
+    given, smith = re.search(r"Mr\. (\w+) (\w+) and", out[0].text).groups()
+    assert brown == left == mr != "Braun" and out[0].text.endswith(f"and Mr {smith}; {given} {smith}'s, {smith}, Smithson, Browne.") and out[0].n_entities == 7
+    assert (out[1].text, out[2].text, out[2].n_entities) == (texts[1], texts[2], 0)
+    assert out[4].text == f"Mr {smith} " + "word " * 40_000 + smith
+    one, two = re.search(r"iban ([A-Z0-9 ]+) or (\S+), card", out[3].text).groups()
+    for iban, before in ((one, "DE89 3704 0044 0532 0130 00"), (two, "GB29NWBK60161331926819")):
+        plain = iban.replace(" ", "")
+        assert iban != before and iban[:2] == before[:2] and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+        assert re.sub("[0-9]", "9", iban[4:]) == re.sub("[0-9]", "9", before[4:]) or iban[4:8].isalpha()
+
+
+def test_formats_with_few_values_get_longer(spark, monkeypatch):
+    monkeypatch.setattr(pii, "LONGER", 1)
+    rows = [(i, f"password={i:08b}") for i in range(256)]
+    drawn = pii.surrogate_table(spark.createDataFrame([("ssn", f"{i % 10}") for i in range(10)], "kind string, norm string").distinct(), "k").collect()
+    assert len({r.surrogate for r in drawn}) == 10 and all(len(r.surrogate) > 1 for r in drawn)
+    out = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k")
+    assert out.select("text").distinct().count() == 256
+
+
 # sharding
 
 
@@ -183,6 +226,9 @@ def test_shards(spark, odd):
     for docs, shards in ((documents(spark), 40), (odd, 3)):
         placed, maps = sharding.shard(docs, shards)
         p = placed.toPandas()
+        of = lambda t: ((t or "").encode(), len((t or "").encode()) + 16)
+        want = collections.Counter((r.doc_id or 0, of(r.text)[1], zlib.crc32(of(r.text)[0])) for r in docs.collect())
+        assert collections.Counter((int(i) if i == i else 0, a, b) for i, a, b in zip(p.doc_id, p["size"], p.text_crc32)) == want
         assert len(p) == docs.count() and p["shard"].between(0, shards - 1).all()
         for _, g in p.groupby("shard"):
             assert sorted(g.slot) == list(range(len(g)))
@@ -195,6 +241,9 @@ def test_shards(spark, odd):
         loads = p.assign(now=p.virtual_slot.map(after)).groupby("now")["size"].sum()
         assert loads.get(shards, 0) <= p["size"].sum() / (shards + 1) + 1
     assert sharding.shard(empty(spark), 4)[0].count() == 0
+    nulls = spark.createDataFrame([(None, f"text {i}") for i in range(200)] + [(1, "same")] * 50 + [(2, "x" * 100_000)], "doc_id long, text string")
+    p = sharding.shard(nulls, 3)[0].toPandas()
+    assert len(p) == 251 and p[p.doc_id.isna()].virtual_slot.nunique() > 100 and all(sorted(g.slot) == list(range(len(g))) for _, g in p.groupby("shard"))
 
 
 # top k
@@ -216,6 +265,19 @@ def test_top_k(spark):
     assert topk.top_k(none, none, 5).count() == 0
 
 
+def test_top_k_of_repeated_and_large_vectors(spark):
+    rows = [(50, [1.0, 0.0], "q"), (50, [1.0, 0.0], "q"), (100, [0.0, 2.0], None), (1, [3.0, 1.0], "x"), (2, [2.0, 5.0], "x"), (2, [2.0, 5.0], "x"), (3, None, "x")]
+    vectors = topk.quantised(spark.createDataFrame([(i, v, t, 1) for i, v, t in rows], "vec_id long, embedding array<double>, score string, rank int"))
+    found = sorted(tuple(r) for r in topk.top_k(vectors.filter("vec_id % 50 = 0"), vectors, 3).collect())
+    u = 256 * 256
+    assert found == [(50, 1, 1, 3 * u), (50, 2, 2, 2 * u), (50, 3, 2, 2 * u), (100, 1, 2, 10 * u), (100, 2, 2, 10 * u), (100, 3, 1, 2 * u)]
+    big = topk.quantised(spark.createDataFrame([(50, [1e6, 3.0]), (1, [2e6, 1.0])], "vec_id long, embedding array<double>"))
+    assert [r.score for r in topk.top_k(big.filter("vec_id = 50"), big, 1).collect()] == [256 * 10**6 * 256 * 2 * 10**6 + 3 * u]
+    with pytest.raises(Exception, match="exceed a long"):
+        huge = topk.quantised(spark.createDataFrame([(50, [1e30]), (1, [1e30])], "vec_id long, embedding array<double>"))
+        topk.top_k(huge.filter("vec_id = 50"), huge, 1).collect()
+
+
 # near duplicates
 
 
@@ -453,6 +515,25 @@ def test_quality_defined_cases(spark, odd):
     assert {r.score for r in flat.select("score").collect()} == {1.0}
     assert {r.score for r in quality.QualityModel.fit(odd, labels.limit(0)).score(odd).select("score").collect()} == {0.5}
     assert quality.QualityModel.fit(odd, labels).score(empty(spark)).count() == 0
+    again = odd.union(odd).union(odd)
+    assert quality.QualityModel.fit(again, labels.union(labels), sample=3).score(odd).count() == len(ROWS)
+
+
+def test_scores_are_those_of_the_plain_formula(spark):
+    """The registered query's scores, worked out for whole texts one by one."""
+    docs, labels = documents(spark), table(spark, SF, "labels")
+    model = quality.QualityModel.fit(docs, labels.filter(~quality.held_out()))
+    net, vectors = model.network, model.vectors
+    scored = {r.doc_id: r.score for r in model.score(docs).select("doc_id", "score").collect()}
+    for r in docs.select("doc_id", "text").collect():
+        (words, marks), x = quality.tokens([r.text or ""])[0], np.zeros(2 * quality.DIMS)
+        for w, m in zip(words, marks):
+            x[: quality.DIMS] += vectors[w] / len(words)
+            x[quality.DIMS :] += vectors[quality.BUCKETS + m] / len(words)
+        logit = np.tanh((x - net.mean) / net.scale @ net.w1 + net.b1) @ net.w2 + net.b2
+        assert abs(scored[r.doc_id] - 1 / (1 + np.exp(-logit[0] / net.temperature))) < 1e-3
+    held = labels.filter(quality.held_out()).count()
+    assert held == sum(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in labels.collect())
 
 
 # the pipeline
