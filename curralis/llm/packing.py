@@ -259,10 +259,10 @@ class Plan:
         return self.sequence[k] + n // self.per[k], self.offset[k] + n % self.per[k] * lengths
 
 
-def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of the tokenised documents, each closed by end_id."""
+def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, keep_ids: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, and ids if they are kept) of the tokenised documents, each closed by end_id."""
     end = array("I", [end_id]).tobytes()
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()} | ({"ids": pa.list_(pa.int32())} if keep_ids else {})
 
     def task(batches):
         tool = words_of(path)
@@ -273,17 +273,18 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
                 whole = ids[start:stop].tobytes() + end
                 for k, a in enumerate(range(0, len(whole), 4 * capacity)):
                     cut = whole[a : a + 4 * capacity]
-                    rows.append((doc_id, k, a // 4, len(cut) // 4, zlib.crc32(cut)))
+                    rows.append((doc_id, k, a // 4, len(cut) // 4, zlib.crc32(cut), *([np.frombuffer(cut, np.int32)] if keep_ids else ())))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if k == 1 else pa.int64()) for k, x in enumerate(zip(*rows))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds.values())], names=list(kinds))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(task, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(task, schema)
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> tuple[DataFrame, Plan]:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of docs, and the plan."""
+def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, keep_ids: bool = False) -> tuple[DataFrame, Plan]:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset, and ids if they are kept) of every piece of docs, and the plan."""
     spark = docs.sparkSession
-    cut = written(pieces(docs, path, capacity, end_id).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int")), "pieces")
+    cut = written(pieces(docs, path, capacity, end_id, keep_ids).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int")), "pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in cut.groupBy("length").count().collect():  # at most a row per length
         counts[length] = n
@@ -292,12 +293,20 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> t
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = cut.groupBy("length", "salt").count().select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))
-    ranked = cut.withColumn("own", own).join(bases, ["length", "salt"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("own") - 1).alias("rank"))
+    kept = ["ids"] * keep_ids
+    ranked = cut.withColumn("own", own).join(bases, ["length", "salt"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("own") - 1).alias("rank"), *kept)
 
     def place(batches):
         plan = shared.value
         for b in batches:
             sequence, offset = plan.places(b.column(3).to_numpy(), b.column(5).to_numpy())
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(offset)], names=[*b.schema.names[:5], "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(offset), *b.columns[6:]], names=[*b.schema.names[:5], "sequence_id", "offset", *kept])
 
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"), plan
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids array<int>" * keep_ids
+    return ranked.mapInArrow(place, schema), plan
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """(sequence_id, ids, doc_ids) from packed pieces with their ids: what a training run reads. A sequence is of bounded size."""
+    rows = packed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids", "doc_id"))).alias("x"))
+    return rows.select("sequence_id", F.flatten("x.ids").alias("ids"), F.col("x.doc_id").alias("doc_ids"))

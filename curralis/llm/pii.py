@@ -292,15 +292,15 @@ def _bare_names(found: Column) -> Column:
     return _let(every, pattern)
 
 
-def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
-    """docs with the text's entities replaced, and their number n_entities."""
-    docs = docs.drop("n_entities")
+def pseudonymise(docs: DataFrame, key: str, into: str = "n_entities") -> DataFrame:
+    """docs with the text's entities replaced, and their number (into)."""
+    docs = docs.drop(into)
     matches = F.regexp_extract_all("text", F.lit(COMBINED), F.lit(0))
     found = F.when(F.col("text").rlike(HINT), matches).otherwise(F.array().cast("array<string>"))
     # the row is wrapped, so that no column of its own can clash with the names used here; settled, so that the patterns run over each text once
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(found, F.array().cast("array<string>")).alias("found"))
     rows = written(rows.withColumn("bare", F.when(F.size("found") > 0, _bare_names(F.col("found")))), "texts")
-    clean = rows.filter(F.size("found") == 0).select("row.*", F.lit(0).cast("long").alias("n_entities"))
+    clean = rows.filter(F.size("found") == 0).select("row.*", F.lit(0).cast("long").alias(into))
     key_ = F.sha2(F.concat_ws("|", F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")), "row.text"), 256)
     whole = F.when(F.col("bare").isNull(), COMBINED).otherwise(F.concat_ws("|", F.lit(COMBINED), "bare"))
     dirty = rows.filter(F.size("found") > 0).select("row", key_.alias("key"), F.col("row.text").alias("old"), "found", "bare", whole.alias("pattern"))
@@ -326,4 +326,4 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     text = F.array_join(F.zip_with(parts, F.concat("out", F.array(F.lit(""))), lambda p, o: F.concat(p, o)), "")
     done = dirty.join(by_doc, "key").select("row", text.alias("new"), "n")
     own = [F.col("new").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    return clean.unionByName(done.select(*own, F.col("n").alias("n_entities")))
+    return clean.unionByName(done.select(*own, F.col("n").alias(into)))

@@ -194,10 +194,10 @@ class QualityModel:
         order = np.random.default_rng(SEED).permutation(len(y))
         return cls(vectors, Network(x[order], y[order]))
 
-    def score(self, docs: DataFrame) -> DataFrame:
-        """docs with the column score: the calibrated probability of label 1 for the whole text. Other columns pass through."""
-        spark = docs.sparkSession
-        shared = spark.sparkContext.broadcast(self)
+    def score(self, docs: DataFrame, into: str = "score") -> DataFrame:
+        """docs with a column (into): the calibrated probability of label 1 for the whole text. Other columns pass through."""
+        docs = docs.drop(into)
+        shared = docs.sparkSession.sparkContext.broadcast(self)
         at = docs.columns.index("text")
 
         def task(batches):
@@ -205,9 +205,6 @@ class QualityModel:
                 for lo in range(0, b.num_rows, 500):
                     part = b.slice(lo, 500)
                     score = shared.value.network.scores(pooled([t or "" for t in part.column(at).to_pylist()], shared.value.vectors))
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64())], names=[*part.schema.names, "score"])
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64())], names=[*part.schema.names, into])
 
-        if "score" in docs.columns:
-            docs = docs.drop("score")
-            at = docs.columns.index("text")
-        return docs.mapInArrow(task, docs.withColumn("score", F.lit(0.0)).schema)
+        return docs.mapInArrow(task, docs.withColumn(into, F.lit(0.0)).schema)

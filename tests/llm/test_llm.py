@@ -495,6 +495,10 @@ def test_packing(spark, odd):
         # the volume bound isn't always reachable: pieces just over half a sequence can't share one with each other
         assert rows.sequence_id.nunique() <= 1.02 * -(-rows.length.sum() // 512) + 1
     assert packing.pack(empty(spark), WORDS)[0].count() == 0
+    whole = packing.sequences(packing.pack(odd, WORDS, capacity=512, keep_ids=True)[0]).collect()
+    assert all(0 < len(r.ids) <= 512 and r.ids[-1] == 1 or len(r.ids) == 512 for r in whole)
+    again = collections.Counter(i for r in whole for i in r.ids)
+    assert again == collections.Counter(i for _, t, _ in ROWS for i in [*tool.tokenizer.encode(t or "", add_special_tokens=False).ids, 1])
 
 
 # quality
@@ -565,4 +569,24 @@ def test_pipeline_stages(spark):
     kept = {r.doc_id for r in corpus_pipeline.quality_stage(spark, documents(spark), SF).collect()}
     clean = [i for i, q in labels.items() if q == 1]
     assert sum(i in kept for i in clean) >= 0.95 * len(clean)
+    tool = packing.WordTable(WORDS)
+    rows = docs.collect()
+    for r in rows:
+        assert r.length == len(r.ids) <= 4096 and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+    fed = {r.doc_id: r.text for r in before.collect()}
+    assert {r.doc_id for r in rows} == set(fed)
+    for i, t in list(fed.items())[:50]:
+        ids = [x for r in sorted((r for r in rows if r.doc_id == i), key=lambda r: r.piece) for x in r.ids]
+        assert ids == [*tool.tokenizer.encode(t, add_special_tokens=False).ids, 1]
     assert pd.notna(docs.agg(F.sum("length")).first()[0]) and isinstance(pa.__version__, str)
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, odd):
+    extra = odd.withColumn("n_entities", F.lit(9)).withColumn("gone_id", F.lit("g"))
+    for docs in (extra, extra.limit(0)):
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES[:4]:
+            out = stage(spark, docs, SF)
+            assert out.columns == docs.columns and out.count() <= n, name
+            assert out.filter("score <> 0.5 OR n_entities <> 9").count() == 0  # the caller's own columns stay
+        assert corpus_pipeline.packing_stage(spark, docs, SF).count() >= n
