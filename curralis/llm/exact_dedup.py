@@ -173,4 +173,4 @@ def drop_exact(docs: DataFrame) -> DataFrame:
     gone = exact_groups(docs).filter("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_of")).distinct()
     # by row, not by doc_id alone: other texts under the same doc_id, or under none, are documents of their own
     of = F.sha2(ascii_lower(F.coalesce(docs.text.cast("string"), F.lit(""))), 256)
-    return docs.join(gone, docs.doc_id.eqNullSafe(F.col("gone_id")) & (of == F.col("gone_of")), "left_anti")
+    return docs.join(gone, docs.doc_id.eqNullSafe(gone["gone_id"]) & (of == gone["gone_of"]), "left_anti")

@@ -82,8 +82,9 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
 def drop_repeated_chunks(docs: DataFrame) -> DataFrame:
     """docs with the repeated passages cut out of the texts, and the number of lines removed (n_removed)."""
     docs = docs.drop("n_removed")
-    gone = repeated_windows(docs).groupBy("doc_id", "digest").agg(F.collect_set(F.struct("start", "end")).alias("gone")).toDF("gone_id", "gone_of", "gone")
-    joined = docs.join(gone, docs.doc_id.eqNullSafe(F.col("gone_id")) & (_digest() == F.col("gone_of")), "left").drop("gone_id", "gone_of")
+    name = "gone" + "_" * max(map(len, docs.columns))  # a name of its own
+    gone = repeated_windows(docs).groupBy("doc_id", "digest").agg(F.collect_set(F.struct("start", "end")).alias("gone")).toDF("gone_id", "gone_of", name)
+    joined = docs.join(gone, docs.doc_id.eqNullSafe(gone["gone_id"]) & (_digest() == gone["gone_of"]), "left").drop(gone["gone_id"], gone["gone_of"])
     at, last = docs.columns.index("text"), len(docs.columns)
 
     def task(batches):

@@ -310,4 +310,4 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100)
 def drop_near(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs with one document of each component, that with the smallest doc_id; columns stay."""
     gone = _groups(docs, width, num, den).filter("not kept").select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_of")).distinct()
-    return docs.join(gone, docs.doc_id.eqNullSafe(F.col("gone_id")) & (_digest() == F.col("gone_of")), "left_anti")
+    return docs.join(gone, docs.doc_id.eqNullSafe(gone["gone_id"]) & (_digest() == gone["gone_of"]), "left_anti")
