@@ -1,25 +1,38 @@
 """From raw documents to packed training sequences: five stages, each written as Parquet and read again by the next.
 
 run(spark, sf_dir) applies STAGES to the table documents. Each stage works on all rows that the one before it kept.
+
+Defined cases, as in the operators: rows without doc_id or text go through all stages; repeated rows and ties stand or fall together; texts of
+any length are judged whole; empty tables give empty results; all columns of documents stay as they are, whatever their names, but
+for text, in which the PII stage replaces entities. The last stage returns pieces with their token ids and places.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from curralis.llm import exact_dedup, near_dedup, packing, pii, quality
 from curralis.llm.common import table, written
 
 #: Documents scored below this are rejected.
 LEAST_QUALITY = 0.7
-#: Key of this run's surrogates; set your own.
-PII_KEY = "corpus-pipeline"
+#: The session's setting that holds the key of the surrogates, and the key where it is unset (tests): set your own secret.
+PII_SETTING, PII_KEY = "spark.curralis.pii.key", "corpus-pipeline"
+
+
+def _free(name: str, docs: DataFrame) -> str:
+    """A column name that docs doesn't have."""
+    while name in docs.columns:
+        name += "_"
+    return name
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.QualityModel.fit(docs, table(spark, sf_dir, "labels").filter(~quality.held_out()))
-    return model.score(docs).filter(f"score >= {LEAST_QUALITY}").select(*docs.columns)
+    score = _free("score", docs)
+    return model.score(docs, score).filter(F.col(score) >= LEAST_QUALITY).select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,11 +44,11 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(docs, PII_KEY).select(*docs.columns)
+    return pii.pseudonymise(docs, spark.conf.get(PII_SETTING, PII_KEY), _free("n_entities", docs)).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))[0]
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=True)[0]
 
 
 STAGES = [
