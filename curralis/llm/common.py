@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,41 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+#: The tables of words that operators keep in a Python worker from task to task, by operator.
+_held: dict[str, dict] = {}
+
+
+def holds(name: str, table: dict) -> dict:
+    """Registers a table that a worker may keep between tasks of the operator of this name."""
+    _held[name] = table
+    return table
+
+
+def lean(name: str, task):
+    """task, a function over batches, that leaves a worker small: the tables of other operators are dropped before it, and free memory
+    goes back to the system after it. Workers outlive stages, and an executor's memory is theirs and the JVM's together."""
+
+    def run(batches):
+        for other, table in _held.items():
+            if other != name:
+                table.clear()
+        _trim()
+        try:
+            yield from task(batches)
+        finally:
+            _trim()
+
+    return run
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Set here only where it is unset (local mode)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

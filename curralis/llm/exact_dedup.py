@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curralis.llm.common import ascii_lower, written
+from curralis.llm.common import ascii_lower, lean, written
 
 #: Bits of a fingerprint (the head of the SHA-256); of these the first SEGMENT_BITS choose the filter's segment.
 BITS, SEGMENT_BITS = 62, 10
@@ -156,11 +156,11 @@ def exact_groups(docs: DataFrame, bits: int = BITS, segment_bits: int = SEGMENT_
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_prints(digests, bits)), pa.array([d for _, d in digests], pa.binary()), pa.array([t for t, _ in digests], pa.binary())], names=["doc_id", "fp", "sha", "norm"])
 
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    prints = written(docs.mapInArrow(slim, "doc_id long, fp long, text_sha256 string"), "exact-prints")
+    prints = written(docs.mapInArrow(lean("exact", slim), "doc_id long, fp long, text_sha256 string"), "exact-prints")
     repeated = repeated_fingerprints(prints.select("fp"), bits, segment_bits)
     # rows of a repeated fingerprint only; a hot fingerprint's side of this join is split by adaptive execution, and
     # the bytes are combined on the map side, so that a group is one row per task
-    routed = docs.mapInArrow(full, "doc_id long, fp long, sha binary, norm binary").join(repeated.select("fp"), "fp", "left_semi")
+    routed = docs.mapInArrow(lean("exact", full), "doc_id long, fp long, sha binary, norm binary").join(repeated.select("fp"), "fp", "left_semi")
     groups = routed.groupBy("norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.min("sha").alias("sha")).filter("group_size > 1")
     groups = groups.select(F.lower(F.hex("sha")).alias("text_sha256"), "keep_id", "group_size")
     out = prints.join(groups, "text_sha256", "left")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curralis.llm.common import written
+from curralis.llm.common import lean, written
 
 LONG = 50
 #: Ids of texts with candidates are broadcast up to this many; beyond, the texts are shuffled once more.
@@ -65,7 +65,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
 
     schema = "doc_id long, digest binary, start int, end int, sha binary"
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("digest", _digest())
-    every = written(rows.mapInArrow(slim, schema), "windows")
+    every = written(rows.mapInArrow(lean("lines", slim), schema), "windows")
     repeated = every.groupBy("sha").agg(F.count("*").alias("n")).filter("n > 1").select("sha")
     likely = written(every.join(repeated, "sha", "left_semi").select(*every.columns), "repeated-windows")
     spans = written(likely.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("start", "end", "sha")).alias("spans")), "texts-with-windows").toDF("id", "of", "spans")
@@ -73,7 +73,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     held = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of"))).select("doc_id", "digest", "text", "spans")
     # equal bytes are combined on the map side: a frequent window is one row per task
     first = F.min(F.struct("doc_id", "digest", "start", "end")).alias("first")
-    groups = held.mapInArrow(full, f"{schema}, body binary").groupBy("body").agg(first, F.count("*").alias("n"), F.min("sha").alias("sha")).filter("n > 1").select("sha", "first")
+    groups = held.mapInArrow(lean("lines", full), f"{schema}, body binary").groupBy("body").agg(first, F.count("*").alias("n"), F.min("sha").alias("sha")).filter("n > 1").select("sha", "first")
     own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
     start = F.when(own, F.greatest("start", "first.end")).otherwise(F.col("start")).alias("start")
     return likely.join(groups, "sha").select("doc_id", "digest", start, "end").filter("start < end")
@@ -100,4 +100,4 @@ def drop_repeated_chunks(docs: DataFrame) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(batch.columns[:last])]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64())], names=[*batch.schema.names[:last], "n_removed"])
 
-    return joined.mapInArrow(task, docs.withColumn("n_removed", F.lit(0).cast("long")).schema)
+    return joined.mapInArrow(lean("lines", task), docs.withColumn("n_removed", F.lit(0).cast("long")).schema)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curralis.llm.common import written
+from curralis.llm.common import holds, lean, written
 
 BANDS, ROWS, SEED, SLACK = 40, 5, 11, 0.15
 #: Buckets up to SMALL members are compared as pairs; larger ones in blocks of BLOCK members by STRAGGLERS.
@@ -36,7 +36,7 @@ SENT = 1_000_000
 TABLE = 250_000
 #: A bucket's rows meet what is known of their bucket in so many parts, so that a large one is no single task's.
 PARTS = 16
-_hashes: dict[bytes, int] = {}
+_hashes: dict[bytes, int] = holds("near", {})
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -116,7 +116,7 @@ def classes_of(docs: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), part.column(2)], names=["doc_id", "n_shingles", "set_key", "sig", "digest"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _digest().alias("digest"))
-    return rows.mapInArrow(task, "doc_id long, n_shingles long, set_key binary, sig binary, digest binary")
+    return rows.mapInArrow(lean("near", task), "doc_id long, n_shingles long, set_key binary, sig binary, digest binary")
 
 
 def _buckets(reps: DataFrame) -> DataFrame:
@@ -127,7 +127,7 @@ def _buckets(reps: DataFrame) -> DataFrame:
             sigs = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(-1, BANDS * ROWS)
             yield pa.RecordBatch.from_arrays([pa.array(band_keys(sigs).ravel()), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], names=["bk", "doc"])
 
-    return reps.select("doc", "sig").mapInArrow(task, "bk long, doc long")
+    return reps.select("doc", "sig").mapInArrow(lean("near", task), "bk long, doc long")
 
 
 def _likely(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
@@ -141,7 +141,7 @@ def _likely(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
 
     sigs = _only(sigs, _ends(pairs))
     one, two = sigs.select(F.col("doc").alias("a"), F.col("sig").alias("sig_a")), sigs.select(F.col("doc").alias("b"), F.col("sig").alias("sig_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(task, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(lean("near", task), "a long, b long")
 
 
 def _of_buckets(rows: DataFrame, few: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep, pa.int64())) for k in (0, 1)], names=["a", "b"])
 
     one, two = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("set_a")), sets.select(F.col("doc").alias("b"), F.col("shingles").alias("set_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(task, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(lean("near", task), "a long, b long")
 
 
 def _sets(docs: DataFrame, reps: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -189,7 +189,7 @@ def _sets(docs: DataFrame, reps: DataFrame, ids: DataFrame, width: int) -> DataF
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string"))
     names = _only(reps.select("doc", "name"), ids).select(F.col("name").alias("doc")).distinct()
     # a doc_id may name several texts: those of other classes are left out by the joins that follow
-    return _only(rows, names).mapInArrow(task, "doc long, shingles binary").dropDuplicates(["doc"])
+    return _only(rows, names).mapInArrow(lean("near", task), "doc long, shingles binary").dropDuplicates(["doc"])
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -30,13 +30,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from curralis.llm.common import written
+from curralis.llm.common import holds, lean, written
 
 #: Most words that a worker's table holds before it starts anew.
 TABLE = 600_000
 #: A length's pieces are ranked in so many parts, so that one length may hold most of the pieces.
 SALTS = 256
-_words: dict[str, WordTable] = {}
+_words: dict[str, WordTable] = holds("packing", {})
 
 
 class _Merges:
@@ -278,7 +278,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, keep_ids: boo
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds.values())], names=list(kinds))
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(task, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean("packing", task), schema)
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, keep_ids: bool = False) -> tuple[DataFrame, Plan]:
@@ -303,7 +303,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, keep
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(offset), *b.columns[6:]], names=[*b.schema.names[:5], "sequence_id", "offset", *kept])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids array<int>" * keep_ids
-    return ranked.mapInArrow(place, schema), plan
+    return ranked.mapInArrow(lean("packing", place), schema), plan
 
 
 def sequences(packed: DataFrame) -> DataFrame:

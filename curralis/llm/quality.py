@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curralis.llm.common import written
+from curralis.llm.common import holds, lean, written
 
 SAMPLE, BUCKETS, MARKS, DIMS, NONZERO, WINDOW, HIDDEN, SEED = 8_000, 1 << 14, 64, 64, 8, 2, 32, 7
 #: Most words that a worker's table holds before it starts anew.
 TABLE = 250_000
 _PUNCTUATION = ".,;:?'\"()[]{}-_/\\|!@#$%^&*+=<>~`"
-_table: dict[str, int] = {}
+_table: dict[str, int] = holds("quality", {})
 
 
 def index_vectors() -> np.ndarray:
@@ -98,7 +98,7 @@ def word_vectors(sample: DataFrame) -> np.ndarray:
         return pa.table({"block": table.column(0)[:1], "sums": pa.array([np.sum(parts, axis=0, dtype=np.float32).tobytes()], pa.binary())})
 
     schema = "block int, sums binary"
-    blocks = sorted(sample.select("text").mapInArrow(contexts, schema).groupBy("block").applyInArrow(add, schema).collect())  # of fixed size
+    blocks = sorted(sample.select("text").mapInArrow(lean("quality", contexts), schema).groupBy("block").applyInArrow(add, schema).collect())  # of fixed size
     out = np.concatenate([np.frombuffer(b[1], np.float32) for b in blocks]).reshape(-1, DIMS) if blocks else np.zeros((BUCKETS + MARKS, DIMS), np.float32)
     out = np.where(np.abs(out).sum(axis=1, keepdims=True) > 0, out, index_vectors())
     return out / np.linalg.norm(out, axis=1, keepdims=True)
@@ -188,7 +188,7 @@ class QualityModel:
                 x = pooled([t or "" for t in b.column(0).to_pylist()], shared.value)
                 yield pa.RecordBatch.from_arrays([b.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["label", "x"])
 
-        found = sorted(rows.mapInArrow(pool, "label int, x binary").collect())  # at most sample rows
+        found = sorted(rows.mapInArrow(lean("quality", pool), "label int, x binary").collect())  # at most sample rows
         x = np.frombuffer(b"".join(r[1] for r in found), np.float32).reshape(-1, dims)
         y = np.array([r[0] for r in found], np.float32)
         order = np.random.default_rng(SEED).permutation(len(y))
@@ -207,4 +207,4 @@ class QualityModel:
                     score = shared.value.network.scores(pooled([t or "" for t in part.column(at).to_pylist()], shared.value.vectors))
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64())], names=[*part.schema.names, into])
 
-        return docs.mapInArrow(task, docs.withColumn(into, F.lit(0.0)).schema)
+        return docs.mapInArrow(lean("quality", task), docs.withColumn(into, F.lit(0.0)).schema)

@@ -23,11 +23,13 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curralis.llm.common import holds, lean
+
 MARK = "▁"
 #: Most chunks that a worker's table holds before it starts anew.
 TABLE = 700_000
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
-_codecs: dict[str, Codec] = {}
+_codecs: dict[str, Codec] = holds("sentencepiece", {})
 
 
 def check_model(model: sentencepiece.SentencePieceProcessor) -> None:
@@ -120,4 +122,4 @@ def encode_decode(docs: DataFrame, path: str, keep_ids: bool = True) -> DataFram
                     rows.append((doc_id, ids if keep_ids else None, ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), decoded if keep_ids else None, hashlib.sha256(decoded.encode()).hexdigest()))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds.values())], names=list(kinds))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(task, "doc_id long, ids string, n_tokens long, ids_sha256 string, decoded string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean("sentencepiece", task), "doc_id long, ids string, n_tokens long, ids_sha256 string, decoded string, decoded_sha256 string")
