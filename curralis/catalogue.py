@@ -10,7 +10,8 @@ from curralis.operators import audit, components, evaluate, linking, merge, navi
 from curralis.operators.closure import bfs, partonomy, reversed_edges
 from curralis.plans import dirty
 from curralis.plans.oracles import ORACLES  # noqa: F401
-from curralis.schema import MAX_RESULTS  # noqa: F401
+from curralis.schema import MAX_RESULTS, Graph  # noqa: F401
+from curralis.sources import turtle
 from curralis.sources.star import graph, tables
 
 QUERIES: dict = {}
@@ -270,7 +271,7 @@ def audit_gate(spark, sf_dir):
 
 @query
 def replay_plan(spark, sf_dir):
-    facts = tables(spark, sf_dir, "customer")["customer"].filter("c_custkey < 400").select(F.col("c_custkey").alias("run_id"))
+    facts = tables(spark, sf_dir, "customer")["customer"].select(F.col("c_custkey").alias("run_id"))
     return runs.replay_plan(facts, _events(spark, sf_dir).withColumn("state", F.when(F.col("state") == "failed", "stopped_by_audit").otherwise(F.col("state"))))
 
 
@@ -294,7 +295,7 @@ def eval_totals(spark, sf_dir):
 
 @query
 def eval_fusion(spark, sf_dir):
-    rows = tables(spark, sf_dir, "lineitem")["lineitem"].filter("l_linenumber = 1").select(F.col("l_suppkey").alias("node"), F.col("l_partkey").alias("global_id"))
+    rows = tables(spark, sf_dir, "lineitem")["lineitem"].select(F.col("l_suppkey").alias("node"), F.col("l_partkey").alias("global_id"))
     return evaluate.fusion(rows)
 
 
@@ -431,3 +432,26 @@ def justified_stops(spark, sf_dir):
     g = graph(spark, sf_dir)
     stops = navigation.learning_path(g, "course", labels=("Course",)).filter("depth > 0").join(g.of("Concept").select("key"), "key", "left_semi")
     return readings.justification(g, stops.select("root", "key"))
+
+
+@query
+def turtle_projection(spark, sf_dir):
+    """Regions and nations as Turtle documents, parsed and projected."""
+    found, x = tables(spark, sf_dir, "region", "nation"), "http://example.org/o#"
+    head = f"@prefix : <{x}> . @prefix owl: <{turtle.OWL}> . @prefix skos: <http://www.w3.org/2004/02/skos/core#> . "
+    one = lambda key, kind, name, more: F.concat(F.lit(head + ":"), key, F.lit(f' a owl:NamedIndividual , :{kind} , :Element ; :layer "reference" ; skos:prefLabel "'), name, F.lit('"@es , "'), F.lower(name), F.lit('"@en'), more, F.lit(" ."))
+    area = lambda c: F.concat(F.lit("A"), F.col(c).cast("string"))
+    docs = found["region"].select(one(area("r_regionkey"), "Area", F.col("r_name"), F.lit("")))
+    docs = docs.union(found["nation"].select(one(F.concat(F.lit("U"), F.col("n_nationkey").cast("string")), "Unit", F.col("n_name"), F.concat(F.lit(" ; :unitOf :"), area("n_regionkey"), F.lit(" ; :partOf :"), area("n_regionkey")))))
+    docs = docs.union(spark.createDataFrame([(f'<{x[:-1]}> a <{turtle.OWL}Ontology> ; <{turtle.RDFS}comment> "c" . [] a <{turtle.OWL}AllDifferent> ; <{turtle.OWL}distinctMembers> ( <{x}A0> <{x}A1> ) .',)], "doc string"))
+    nodes, edges = turtle.project(turtle.triples_of(docs), {x + "Area": "KnowledgeArea", x + "Unit": "KnowledgeUnit"}, {x + "unitOf": "PART_OF", x + "partOf": "PART_OF"}, "http://www.w3.org/2004/02/skos/core#prefLabel", {x + "layer": "layer"}, abstract=(x + "Element",), layer="reference")
+    return nodes.select(F.col("label").alias("kind"), "key", F.concat_ws("/", "name_es", "name_en", "layer").alias("value")).union(edges.select("type", "source", "target"))
+
+
+@query
+def snapshot_problems(spark, sf_dir):
+    """Of the graph with some keys in two classes, an unknown layer and units in two areas."""
+    g = graph(spark, sf_dir)
+    more = g.of("Concept").filter("key LIKE '%7'").withColumn("label", F.lit("Topic")).unionByName(g.of("Course").withColumn("layer", F.lit("draft")).withColumn("key", F.concat(F.lit("D"), "key")))
+    links = g.links("PART_OF").filter("source LIKE 'U%'").withColumn("target", F.lit("A0"))
+    return merge.snapshot_problems(Graph(g.nodes.unionByName(more), g.edges.unionByName(links)))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 
 from pyspark.sql import Column
@@ -10,10 +9,10 @@ from pyspark.sql import functions as F
 
 
 def _folding() -> tuple[str, str]:
-    """Every letter that decomposes into one base character and marks, and that base: derived from the Unicode data, not listed."""
+    """Every character that decomposes into one base character and marks, and that base: derived from the Unicode data, not listed."""
     found = {}
-    for code in range(0xC0, min(0x2000, sys.maxunicode)):
-        base = "".join(c for c in unicodedata.normalize("NFD", chr(code)) if not unicodedata.combining(c))
+    for code in (*range(0xC0, 0xAC00), *range(0xD7A4, 0xD800), *range(0xF900, 0xFFFE)):
+        base = "".join(c for c in unicodedata.normalize("NFD", chr(code)) if unicodedata.category(c) != "Mn")
         if len(base) == 1 and base != chr(code):
             found[chr(code)] = base
     return "".join(found), "".join(found.values())
@@ -25,10 +24,22 @@ PROTECTED = ("https", "ips", "ids", "ftps", "smtps", "imaps", "ldaps", "pop3s",
 _KEPT = "\ue000"
 
 
+def _bare(text: Column) -> Column:
+    """text in small letters, without marks; Hangul syllables as their two or three letters, as canonical decomposition has them."""
+    bare = F.translate(F.regexp_replace(F.lower(text), r"\p{Mn}", ""), _FROM, _TO)
+    parts = lambda first, n: F.array(*[F.lit(chr(first + k) if first + k != 0x11A7 else "") for k in range(n)])
+    lead, vowel, tail = parts(0x1100, 19), parts(0x1161, 21), parts(0x11A7, 28)
+
+    def one(c):
+        code = F.ascii(c) - 0xAC00
+        return F.when(c.between("\uac00", "\ud7a3"), F.concat(F.get(lead, F.floor(code / 588).cast("int")), F.get(vowel, F.floor(code % 588 / 28).cast("int")), F.get(tail, code % 28))).otherwise(c)
+
+    return F.when(bare.rlike("[\uac00-\ud7a3]"), F.array_join(F.transform(F.split(bare, ""), one), "")).otherwise(bare)
+
+
 def fold(text: Column) -> Column:
     """Lower case without accents; typographic apostrophes become plain ones. Stays in generated code."""
-    bare = F.translate(F.regexp_replace(F.lower(text), r"\p{Mn}", ""), _FROM, _TO)
-    return F.regexp_replace(bare, "’", "'")
+    return F.regexp_replace(_bare(text), "’", "'")
 
 
 def tokens(folded: Column) -> Column:
@@ -45,8 +56,7 @@ def singular(word: Column) -> Column:
 
 def normalize_label(label: Column) -> Column:
     """Folded, separators as single spaces, + and # kept right behind a letter and not before one, every word in the singular."""
-    text = F.translate(F.regexp_replace(F.lower(label), r"\p{Mn}", ""), _FROM, _TO)
-    text = F.regexp_replace(text, r"(?<=\p{L})([+#]++)(?!\p{L})", "$1" + _KEPT)
+    text = F.regexp_replace(_bare(label), r"(?<=\p{L})([+#]++)(?!\p{L})", "$1" + _KEPT)
     text = F.regexp_replace(text, rf"[+#](?![+#]*{_KEPT})|[^\p{{L}}\p{{N}}+#{_KEPT}]", " ")
     words = F.transform(F.split(F.regexp_replace(text, _KEPT, ""), " +"), singular)
     return F.array_join(F.filter(words, lambda w: w != ""), " ")

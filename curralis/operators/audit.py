@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from curralis.functions.text import locator_ok
 from curralis.operators.components import strongly_connected
+from curralis.plans.lineage import settled
 from curralis.schema import ACYCLIC, DERIVED, EDGE_TYPES, KNOWLEDGE_ELEMENT, LABELS, LAYERS, LEVELS, NODE_PROPERTIES, OWN_PROPERTIES, REQUIRED_PARENT, SAMPLE, TOP_LEVEL, admitted_pairs
 
 RAW_NODES = "id string, labels array<string>, props map<string, struct<kind: string, text: string>>"
@@ -38,6 +39,12 @@ class RawGraph:
         end = lambda p: self.nodes.select(F.col("id").alias(p), F.col("name").alias(f"{p}_name"), F.col("labels").alias(f"{p}_labels"), F.col("layer").alias(f"{p}_layer"), F.col("layer_kind").alias(f"{p}_kind"))
         self.edges = edges.join(end("src"), "src").join(end("dst"), "dst")
 
+    def settled(self) -> RawGraph:
+        """The same graph, computed once for all rules that read it: one state, and the joins with both ends only once."""
+        out = RawGraph.__new__(RawGraph)
+        out.nodes, out.edges = settled(self.nodes), settled(self.edges)
+        return out
+
     def labelled(self, label: str) -> DataFrame:
         return self.nodes.filter(F.array_contains("labels", label))
 
@@ -157,10 +164,11 @@ def report(g: RawGraph, rules: tuple[str, ...] = tuple(RULES)) -> DataFrame:
     """(rule, violations, sample): one row per rule, sample the first SAMPLE elements in order. Only what can be in a sample is gathered."""
     from pyspark.sql import Window
 
-    found = None
+    g, found = g.settled(), None
     for rule in rules:
         rows = RULES[rule](g).withColumn("rule", F.lit(rule))
         found = rows if found is None else found.unionByName(rows)
+    found = settled(found)
     counts = found.groupBy("rule").agg(F.count("*").alias("violations"))
     first = found.withColumn("n", F.row_number().over(Window.partitionBy("rule").orderBy("element"))).filter(F.col("n") <= SAMPLE)
     samples = first.groupBy("rule").agg(F.array_sort(F.collect_list("element")).alias("sample"))

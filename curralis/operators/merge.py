@@ -11,7 +11,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curralis.schema import DERIVED, EDGES, LEVELS, NODES, Graph
+from curralis.plans.lineage import dealt
+from curralis.schema import CLASSES, DERIVED, EDGES, LAYERS, LEVELS, NODES, OWN_PROPERTIES, SAMPLE, Graph
+
+
+class SnapshotError(Exception):
+    """The graph holds something that a snapshot can't tell."""
 
 
 class WriteMismatch(Exception):
@@ -64,6 +69,25 @@ def snapshot_nodes(graph: Graph) -> DataFrame:
     return rows.select("key", "label", "layer", "name_es", "name_en", F.when(F.col("label") == "KnowledgeUnit", F.col("area")).alias("area"))
 
 
+def snapshot_problems(graph: Graph) -> DataFrame:
+    """(key, problem) of nodes that no snapshot may hold: without a key, of several classes, of an unknown layer, units of several areas."""
+    of = graph.nodes.groupBy("key").agg(F.sort_array(F.collect_set("label")).alias("labels"), F.sort_array(F.collect_set(F.coalesce("layer", F.lit("<none>")))).alias("layers"))
+    several = of.filter("size(labels) <> 1").select("key", F.concat(F.lit("classes "), F.array_join("labels", " ")).alias("problem"))
+    layer = of.filter(F.exists("layers", lambda x: ~x.isin(*LAYERS))).select("key", F.concat(F.lit("layer "), F.array_join("layers", " ")).alias("problem"))
+    unknown = graph.nodes.filter(F.col("key").isNotNull() & ~F.coalesce(F.col("label").isin(*CLASSES), F.lit(False))).select("key", F.concat(F.lit("class "), F.coalesce("label", F.lit("<none>"))).alias("problem"))
+    none = graph.nodes.filter("key IS NULL").select("key", F.lit("no key").alias("problem"))
+    areas = graph.links("PART_OF").join(graph.of("KnowledgeUnit").select(F.col("key").alias("source")), "source", "left_semi").join(graph.of("KnowledgeArea").select(F.col("key").alias("target")), "target", "left_semi")
+    wide = areas.groupBy(F.col("source").alias("key")).agg(F.sort_array(F.collect_set("target")).alias("areas")).filter("size(areas) > 1").select("key", F.concat(F.lit("areas "), F.array_join("areas", " ")).alias("problem"))
+    return several.unionByName(layer).unionByName(unknown).unionByName(none).unionByName(wide).distinct()
+
+
+def snapshot(graph: Graph) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges that a run starts from; raises SnapshotError where the graph isn't one that a snapshot can tell."""
+    if found := [f"{r.key}: {r.problem}" for r in snapshot_problems(graph).orderBy("key", "problem").limit(SAMPLE).collect()]:
+        raise SnapshotError("; ".join(found))
+    return snapshot_nodes(graph), snapshot_edges(graph)
+
+
 def snapshot_edges(graph: Graph) -> DataFrame:
     """The edges that must stay acyclic, and the partonomy of topics and concepts."""
     inner = graph.of("Topic", "Concept").select(F.col("key").alias("source"))
@@ -87,6 +111,18 @@ def before(graph: Graph, earlier: tuple[DataFrame, DataFrame], later: tuple[Data
     return Graph(kept, rest.select(*graph.edges.columns))
 
 
+def undeclared(nodes: DataFrame) -> DataFrame:
+    """(key, property) of the batch's nodes that carry a property which their class doesn't declare."""
+    own = {"course_code": "courseCode", "locator": "resourceLocator"}
+    rows = None
+    for column, name in own.items():
+        if column in nodes.columns:
+            classes = [c for c, names in OWN_PROPERTIES.items() if name in names]
+            found = nodes.filter(F.col(column).isNotNull() & ~F.col("label").isin(*classes)).select("key", F.lit(name).alias("property"))
+            rows = found if rows is None else rows.unionByName(found)
+    return rows if rows is not None else nodes.select("key", F.lit("").alias("property")).limit(0)
+
+
 class GraphStore:
     """Versions of a graph as Parquet in a folder; the newest row of the pointer table names the one in effect."""
 
@@ -98,8 +134,8 @@ class GraphStore:
 
     def publish(self, graph: Graph) -> Graph:
         name = uuid.uuid4().hex
-        graph.nodes.repartition("label").write.partitionBy("label").parquet(f"{self.path}/{name}/nodes")
-        graph.edges.repartition("type").write.partitionBy("type").parquet(f"{self.path}/{name}/edges")
+        dealt(graph.nodes, "label", "key").write.partitionBy("label").parquet(f"{self.path}/{name}/nodes")
+        dealt(graph.edges, "type", "source").write.partitionBy("type").parquet(f"{self.path}/{name}/edges")
         number = self._last()[0] + 1
         self.spark.createDataFrame([(number, name)], "number long, name string").coalesce(1).write.mode("append").parquet(f"{self.path}/pointer")
         return self.current()
@@ -121,6 +157,12 @@ class GraphStore:
         """Merges and publishes; returns the numbers of new nodes and edges. WriteMismatch leaves the version in effect as it was."""
         graph = self.current()
         whole, fresh, added = merge(graph, nodes, edges, layer, provenance)
+        asked = nodes.select("key").distinct().join(graph.nodes.select("key"), "key", "left_anti").count()
+        if fresh.count() != asked:
+            raise WriteMismatch(f"expected {asked} new nodes, created {fresh.count()}")
+        extra = undeclared(nodes)
+        if not extra.isEmpty():
+            raise ValueError(f"undeclared properties: {[tuple(r) for r in extra.limit(5).collect()]}")
         lost = missing(graph, fresh, edges, added)
         if not lost.isEmpty():
             raise WriteMismatch(f"edges that can't be written: {[tuple(r) for r in lost.limit(5).collect()]}")

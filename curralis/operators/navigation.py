@@ -174,6 +174,10 @@ def overview(graph: Graph) -> DataFrame:
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with")
 
 
+#: Characters by which words of a search meet those of the index.
+HEAD = 4
+
+
 def search_index(graph: Graph) -> DataFrame:
     """(key, field, token): the folded words of the names and codes of elements and courses, without stop words."""
     fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in ("name_es", "name_en", "course_code")])
@@ -184,13 +188,15 @@ def search_index(graph: Graph) -> DataFrame:
 def search(graph: Graph, queries: DataFrame, limit: int = MAX_RESULTS) -> DataFrame:
     """(query, key, score, rank): nodes where every word of a query (query) that isn't a stop word begins some word; stop words only add to the score.
 
-    The score is the number of (word, field) pairs that match. Words meet index words by their first character.
+    The score is the number of (word, field) pairs that match. Words meet index words by their first HEAD characters: an
+    index word stands under each of its first HEAD beginnings, so that this is a join on equality.
     """
     terms = queries.select("query", F.explode(F.array_distinct(tokens(fold(F.col("query"))))).alias("word"))
     terms = terms.withColumn("optional", F.col("word").isin(*STOP_WORDS))
     needed = terms.filter("not optional").groupBy("query").agg(F.count("*").alias("needed"))
     index = search_index(graph)
-    hits = terms.withColumn("head", F.substring("word", 1, 1)).join(index.withColumn("head", F.substring("token", 1, 1)), "head").filter(F.col("token").startswith(F.col("word")))
+    heads = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(HEAD)), lambda n: F.substring("token", F.lit(1), n)))
+    hits = terms.withColumn("head", F.substring("word", 1, HEAD)).join(index.withColumn("head", F.explode(heads)), "head").filter(F.col("token").startswith(F.col("word")))
     pairs = hits.select("query", "key", "word", "field", "optional").distinct()
     scored = pairs.groupBy("query", "key").agg(F.count("*").cast("double").alias("score"), F.count_distinct(F.when(~F.col("optional"), F.col("word"))).alias("met"))
     kept = scored.join(needed, "query", "left").filter(F.col("met") == F.coalesce("needed", F.lit(0)))

@@ -7,18 +7,30 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder, which driver and executors share; set here only where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = os.path.join(tempfile.gettempdir(), "curralis-checkpoints")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: Parts in which one class or edge type is written, so that a large one is no single task's.
+PARTS = 16
+
+
+def dealt(df: DataFrame, by: str, key: str) -> DataFrame:
+    """df dealt out for a write partitioned by a column of few values: each value in up to PARTS tasks."""
+    return df.repartition(F.col(by), F.pmod(F.xxhash64(key), F.lit(PARTS)))
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df computed once, as Parquet in the checkpoint folder: lost executors lose nothing, and later plans start from it.
 

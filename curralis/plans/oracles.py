@@ -208,10 +208,10 @@ ORACLES = {
     "run_oldest_pending": f"SELECT run_id FROM (SELECT min(run_id) AS run_id FROM (SELECT run_id, arg_max(state, ordinal) AS state FROM {_EVENTS} GROUP BY run_id) WHERE state = 'pending') WHERE run_id IS NOT NULL",
     "run_counts": f"SELECT state, count(*) AS n FROM (SELECT run_id, arg_max(state, ordinal) AS state FROM {_EVENTS} GROUP BY run_id) GROUP BY state",
     "audit_gate": "SELECT CASE WHEN event_type = 'error' THEN 'closed: audit not completed' WHEN floor(value) > 0 THEN 'closed: violations' ELSE 'open' END AS gate FROM events ORDER BY event_id DESC LIMIT 1",
-    "replay_plan": f"SELECT c_custkey AS run_id, CASE WHEN state IS NULL THEN 'orphan' WHEN state = 'failed' THEN 'skip' ELSE 'write' END AS action FROM customer LEFT JOIN (SELECT run_id, arg_max(state, ordinal) AS state FROM {_EVENTS} GROUP BY run_id) ON run_id = c_custkey WHERE c_custkey < 400",
+    "replay_plan": f"SELECT c_custkey AS run_id, CASE WHEN state IS NULL THEN 'orphan' WHEN state = 'failed' THEN 'skip' ELSE 'write' END AS action FROM customer LEFT JOIN (SELECT run_id, arg_max(state, ordinal) AS state FROM {_EVENTS} GROUP BY run_id) ON run_id = c_custkey",
     "eval_precision_recall": f"SELECT lang, hits, proposed, recovered, mandatory, {_RATIOS} {_SCORED})",
     "eval_totals": f"SELECT split, CAST(hits AS BIGINT) AS hits, CAST(proposed AS BIGINT) AS proposed, CAST(recovered AS BIGINT) AS recovered, CAST(mandatory AS BIGINT) AS mandatory, {_RATIOS} (SELECT split, sum(hits) AS hits, sum(proposed) AS proposed, sum(recovered) AS recovered, sum(mandatory) AS mandatory FROM (SELECT *, unnest(['all', CASE WHEN lang = 'en' THEN 'tuning' ELSE 'held_out' END]) AS split FROM {_SCORED}) GROUP BY split))",
-    "eval_fusion": """WITH m AS (SELECT DISTINCT l_suppkey AS node, l_partkey AS g FROM lineitem WHERE l_linenumber = 1), s AS (SELECT count(*) AS n FROM m GROUP BY g HAVING count(*) > 1), w AS (SELECT count(*) AS n FROM m GROUP BY node HAVING count(*) > 1)
+    "eval_fusion": """WITH m AS (SELECT DISTINCT l_suppkey AS node, l_partkey AS g FROM lineitem), s AS (SELECT count(*) AS n FROM m GROUP BY g HAVING count(*) > 1), w AS (SELECT count(*) AS n FROM m GROUP BY node HAVING count(*) > 1)
         SELECT (SELECT count(*) FROM s) AS split_notions, (SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM s) AS surplus, (SELECT count(*) FROM w) AS wrong_nodes""",
     "eval_attempts": """WITH f AS (SELECT CAST(o_custkey AS VARCHAR) AS syllabus, min(o_orderkey) AS run_id FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
         SELECT syllabus, run_id, (SELECT count(*) FROM orders o WHERE CAST(o.o_custkey AS VARCHAR) = syllabus AND o_orderstatus <> 'F' AND o_orderkey < run_id) + 1 AS attempts FROM f""",
@@ -252,3 +252,10 @@ ORACLES["link_mentions"] = with_graph(f""", known AS (SELECT norm, arg_min(key,
     m AS (SELECT name, {_norm('name')} AS norm FROM (SELECT CASE p_partkey % 3 WHEN 0 THEN upper(p_name) || 's' WHEN 1 THEN 'new-' || p_name ELSE p_name END AS name FROM part)),
     h AS (SELECT m.name, m.norm, k.key, {_HASH.replace('norm)', 'm.norm)')} AS x FROM m LEFT JOIN known k ON k.norm = m.norm)
     SELECT name, norm, key IS NULL AS minted, coalesce(key, x[1:8] || '-' || x[9:12] || '-5' || x[14:16] || '-' || substr('89ab', CAST(('0x' || x[17:17])::INT % 4 + 1 AS INT), 1) || x[18:20] || '-' || x[21:32]) AS key FROM h""")
+
+ORACLES["turtle_projection"] = """SELECT 'KnowledgeArea' AS kind, 'http://example.org/o#A' || r_regionkey AS key, r_name || '/' || lower(r_name) || '/reference' AS value FROM region
+    UNION ALL SELECT 'KnowledgeUnit', 'http://example.org/o#U' || n_nationkey, n_name || '/' || lower(n_name) || '/reference' FROM nation
+    UNION ALL SELECT 'PART_OF', 'http://example.org/o#U' || n_nationkey, 'http://example.org/o#A' || n_regionkey FROM nation"""
+ORACLES["snapshot_problems"] = with_graph(""" SELECT key, 'classes Concept Topic' AS problem FROM nodes WHERE label = 'Concept' AND key LIKE '%7'
+    UNION ALL SELECT 'D' || key, 'layer draft' FROM nodes WHERE label = 'Course'
+    UNION ALL SELECT source, 'areas A0 ' || target FROM edges WHERE type = 'PART_OF' AND source LIKE 'U%' AND target <> 'A0'""")

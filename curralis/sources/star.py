@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curralis.plans.lineage import shared_folder
+from curralis.plans.lineage import dealt, shared_folder
 from curralis.schema import EDGES, NODES, Graph
 
 TABLES = ("region", "nation", "part", "supplier", "lineitem", "pages")
@@ -89,8 +89,8 @@ def graph(spark: SparkSession, sf_dir: str, refresh: bool = False) -> Graph:
     key = (spark.sparkContext.applicationId, sf_dir)
     if refresh or key not in _published:
         made, path = project(spark, sf_dir), f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
-        made.nodes.repartition("label").write.partitionBy("label").parquet(f"{path}/nodes")
-        made.edges.repartition("type").write.partitionBy("type").parquet(f"{path}/edges")
+        dealt(made.nodes, "label", "key").write.partitionBy("label").parquet(f"{path}/nodes")
+        dealt(made.edges, "type", "source").write.partitionBy("type").parquet(f"{path}/edges")
         _published[key] = path
     read = lambda part, schema: spark.read.schema(schema).parquet(f"{_published[key]}/{part}").select(*[c.split()[0] for c in schema.split(", ")])
     return Graph(read("nodes", NODES), read("edges", EDGES))

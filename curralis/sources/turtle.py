@@ -6,12 +6,19 @@ The documents are small (an ontology is read by one task); the projection itself
 from __future__ import annotations
 
 import re
+import zlib
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curralis.plans.lineage import settled
+from curralis.schema import LEVELS
+
 TRIPLES = "s string, p string, o string, kind string, lang string, datatype string"
 RDF, RDFS, OWL, XSD = ("http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://www.w3.org/2000/01/rdf-schema#", "http://www.w3.org/2002/07/owl#", "http://www.w3.org/2001/XMLSchema#")
+#: What an ontology's header may state beside its type.
+HEADER = (OWL + "imports", RDFS + "comment")
 _TOKEN = re.compile(
     r"""\s+|\#[^\n]*|(?P<iri><[^<>\s]*>)|(?P<long>\"\"\"(?:[^"\\]|\\.|"(?!""))*\"\"\")|(?P<str>"(?:[^"\\\n]|\\.)*")|(?P<dir>@prefix|@base)|(?P<lang>@[A-Za-z][A-Za-z0-9-]*)|(?P<caret>\^\^)"""
     r"""|(?P<num>[+-]?(?:\d+\.\d+|\d+)(?:[eE][+-]?\d+)?)|(?P<blank>_:[\w-]+)|(?P<name>(?:[\w-]+(?:\.[\w-]+)*)?:(?:[\w%-]+(?:\.[\w%-]+)*)?)|(?P<word>a\b|true\b|false\b)|(?P<mark>[.;,\[\]()])""",
@@ -130,8 +137,22 @@ def parse(text: str) -> list[tuple]:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Triples (TRIPLES) of the documents at path, each read whole, through Spark's own readers."""
-    files = spark.read.text(path, wholetext=True)
-    return files.rdd.flatMap(lambda row: parse(row[0])).toDF(TRIPLES)
+    return triples_of(spark.read.text(path, wholetext=True))
+
+
+def triples_of(documents: DataFrame) -> DataFrame:
+    """Triples (TRIPLES) of Turtle documents, one in each row's first column; blank nodes are told apart by their document."""
+
+    def task(batches):
+        for batch in batches:
+            rows = []
+            for text in batch.column(0).to_pylist():
+                mark = f"_:{zlib.crc32((text or '').encode()):08x}-"
+                own = lambda x: mark + x[2:] if isinstance(x, str) and x.startswith("_:") else x  # noqa: B023, E731
+                rows += [(own(t[0]), t[1], own(t[2]) if t[3] == "blank" else t[2], *t[3:]) for t in parse(text or "")]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(6)], names=[c.split()[0] for c in TRIPLES.split(", ")])
+
+    return documents.select(F.col(documents.columns[0])).mapInArrow(task, TRIPLES)
 
 
 def uncovered(triples: DataFrame, allowed: list[tuple[str, str]]) -> DataFrame:
@@ -145,19 +166,38 @@ class ProjectionError(ValueError):
     """Constructs that the projection doesn't know; all of them are named."""
 
 
-def project(triples: DataFrame, classes: dict[str, str], edges: dict[str, str], labels: str, data: dict[str, str], abstract: tuple[str, ...] = (), ignored: tuple[str, ...] = (), layer: str | None = None) -> tuple[DataFrame, DataFrame]:
+def _list_cells(triples: DataFrame, heads: DataFrame) -> DataFrame:
+    """(s) of the list cells that can be reached from heads (s), in steps that double."""
+    cells = triples.filter(F.col("p").isin(RDF + "first", RDF + "rest")).select("s").distinct()
+    found = heads.join(cells, "s", "left_semi").distinct()
+    hop = triples.filter((F.col("p") == RDF + "rest") & (F.col("o") != RDF + "nil")).select("s", "o").distinct()
+    for _ in range(cells.count().bit_length()):
+        found = settled(found.union(found.join(hop, "s").select(F.col("o").alias("s"))).distinct())
+        hop = settled(hop.join(hop.toDF("o", "far"), "o").select("s", F.col("far").alias("o")).distinct())
+    return found
+
+
+def project(triples: DataFrame, classes: dict[str, str], edges: dict[str, str], labels: str, data: dict[str, str], abstract: tuple[str, ...] = (), below: tuple[str, ...] = LEVELS, ignored: tuple[str, ...] = (), layer: str | None = None) -> tuple[DataFrame, DataFrame]:
     """nodes (key, label, layer, name_es, name_en, description, locator) and edges (type, source, target) of the named individuals.
 
     classes: class IRI to label; edges: property IRI to edge type (several may share one); labels: the property whose
-    language tags es and en become columns; data: property IRI to column, among them layer. Headers, lists and AllDifferent axioms are consumed; whatever
-    else isn't covered raises ProjectionError.
+    language tags es and en become columns; data: property IRI to column, among them layer; abstract: classes that only those of the labels
+    in below may carry beside their own. Headers and AllDifferent axioms with their lists are consumed; whatever else isn't covered,
+    inside of them too, raises ProjectionError.
     """
-    named = triples.filter((F.col("p") == RDF + "type") & (F.col("o") == OWL + "NamedIndividual")).select("s").distinct()
-    header = triples.filter((F.col("p") == RDF + "type") & F.col("o").isin(OWL + "Ontology", OWL + "AllDifferent")).select("s").distinct()
-    cells = triples.filter(F.col("p").isin(RDF + "first", RDF + "rest")).select("s").distinct()
-    own = triples.join(header, "s", "left_anti").join(cells, "s", "left_anti")
-    lost = own.join(named, "s", "left_anti")
-    own = own.join(named, "s", "left_semi").filter(~((F.col("p") == RDF + "type") & F.col("o").isin(OWL + "NamedIndividual", *abstract)))
+    is_a = lambda *kinds: (F.col("p") == RDF + "type") & F.col("o").isin(*kinds)
+    named = triples.filter(is_a(OWL + "NamedIndividual", *classes, *abstract)).select("s").distinct()
+    header = triples.filter(is_a(OWL + "Ontology")).select("s").distinct()
+    different = triples.filter(is_a(OWL + "AllDifferent")).select("s").distinct()
+    cells = _list_cells(triples, triples.join(different, "s", "left_semi").filter(F.col("p") == OWL + "distinctMembers").select(F.col("o").alias("s")))
+    # headers and axioms are consumed, and hold nothing else
+    lost = triples.join(header, "s", "left_semi").filter(~(is_a(OWL + "Ontology") | F.col("p").isin(*HEADER)))
+    lost = lost.union(triples.join(different.union(cells).distinct(), "s", "left_semi").filter(~(is_a(OWL + "AllDifferent") | F.col("p").isin(OWL + "distinctMembers", RDF + "first", RDF + "rest"))))
+    own = triples.join(header.union(different).union(cells).distinct(), "s", "left_anti")
+    lost = lost.union(own.join(named, "s", "left_anti"))
+    own = own.join(named, "s", "left_semi")
+    marked = own.filter(is_a(*abstract)).select("s").distinct() if abstract else None
+    own = own.filter(~is_a(OWL + "NamedIndividual", *abstract))
     known = [RDF + "type", labels, *edges, *data, *ignored]
     bad = lost.union(own.filter(~F.col("p").isin(*known))).union(own.filter((F.col("p") == RDF + "type") & ~F.col("o").isin(*classes))).union(own.filter((F.col("p") == labels) & ~F.coalesce(F.col("lang").isin("es", "en"), F.lit(False))))
     messages = bad.select(F.concat_ws(" ", "s", "p", "o").alias("m"))
@@ -166,6 +206,9 @@ def project(triples: DataFrame, classes: dict[str, str], edges: dict[str, str],
     several = named.join(typed, "s", "left").filter(F.coalesce(F.size("labels"), F.lit(0)) != 1)
     twice = own.filter(F.col("p").isin(labels, *data)).groupBy("s", "p", "lang").count().filter("count > 1")
     messages = messages.union(several.select(F.concat_ws(" ", "s", F.lit("needs one class, has"), F.array_join(F.coalesce("labels", F.array().cast("array<string>")), " ")))).union(twice.select(F.concat_ws(" ", "s", "p", F.lit("has several values"))))
+    if marked is not None:
+        wrong = marked.join(typed, "s").filter((F.size("labels") == 1) & ~F.col("labels")[0].isin(*below))
+        messages = messages.union(wrong.select(F.concat_ws(" ", "s", F.lit("is no element, but a"), F.col("labels")[0])))
     if layer is not None:
         at = [p for p, c in data.items() if c == "layer"]
         messages = messages.union(own.filter(F.col("p").isin(*at) & (F.col("o") != layer)).select(F.concat_ws(" ", "s", F.lit("is of the layer"), "o")))

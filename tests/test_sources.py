@@ -18,7 +18,7 @@ X, SKOS = "http://x.org/#", "http://www.w3.org/2004/02/skos/core#prefLabel"
 
 def projected(spark, text):
     triples = spark.createDataFrame(turtle.parse(text), turtle.TRIPLES)
-    return turtle.project(triples, {X + "Area": "KnowledgeArea", X + "Unit": "KnowledgeUnit"}, {X + "unitOf": "PART_OF", X + "partOf": "PART_OF"}, SKOS, {X + "layer": "layer"}, layer="reference")
+    return turtle.project(triples, {X + "Area": "KnowledgeArea", X + "Unit": "KnowledgeUnit"}, {X + "unitOf": "PART_OF", X + "partOf": "PART_OF"}, SKOS, {X + "layer": "layer"}, abstract=(X + "Element",), below=("KnowledgeUnit",), layer="reference")
 
 
 def test_turtle_projection(spark):
@@ -27,7 +27,7 @@ def test_turtle_projection(spark):
     assert [tuple(r) for r in edges.collect()] == [("PART_OF", X + "u", X + "a")]
 
 
-@pytest.mark.parametrize("more", [":u :other :a .", ':a skos:prefLabel "x"@fr .', ':u :layer "institutional" .', ":u a :Area .", ':a skos:prefLabel "otra"@es .', ":n a owl:NamedIndividual ."])
+@pytest.mark.parametrize("more", [":u :other :a .", ':a skos:prefLabel "x"@fr .', ':u :layer "institutional" .', ":u a :Area .", ':a skos:prefLabel "otra"@es .', ":n a owl:NamedIndividual .", '<http://x.org/> :title "t" .', ":x owl:distinctMembers ( :a ) .", ":u a :Element . :t a :Area , :Element ."])
 def test_turtle_rejects_what_it_does_not_know(spark, more):
     with pytest.raises(turtle.ProjectionError):
         projected(spark, DOC + more)
@@ -37,6 +37,10 @@ def test_text_functions(spark):
     cases = ["Árboles  Binarios", "C++ y C#", "c++11", "C#x", "Redes-de_datos", "HTTPS", "voces", "+a", "naïve’s node.js"]
     rows = spark.createDataFrame([(c,) for c in cases], "t string").select(normalize_label(F.col("t"))).collect()
     assert [r[0] for r in rows] == ["arbol binario", "c++ y c#", "c++11", "c x", "red de dato", "https", "voc", "a", "naiv nod j"]
+    other = spark.createDataFrame([("が Ŵ 각 ﬀ 한글 Ặ Ⅷ ợ",)], "t string").select(fold(F.col("t"))).first()[0]
+    import unicodedata
+
+    assert other == "".join(c for c in unicodedata.normalize("NFD", "が ŵ 각 ﬀ 한글 ặ ⅷ ợ") if unicodedata.category(c) != "Mn")
     words = spark.createDataFrame([("O’Reilly's node.js 802.11 _x_ Ñandú",)], "t string").select(tokens(fold(F.col("t")))).first()[0]
     assert words == ["o'reilly's", "node.js", "802.11", "x", "nandu"]
 
