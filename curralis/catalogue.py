@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curralis.functions.text import fold, normalize_label, tokens
-from curralis.operators import audit, components, evaluate, linking, merge, navigation, readings, runs, validate
+from curralis.operators import assembly, audit, components, evaluate, judging, linking, merge, navigation, readings, runs, validate
 from curralis.operators.closure import bfs, partonomy, reversed_edges
 from curralis.plans import dirty
 from curralis.plans.oracles import ORACLES  # noqa: F401
@@ -441,7 +441,7 @@ def turtle_projection(spark, sf_dir):
     head = f"@prefix : <{x}> . @prefix owl: <{turtle.OWL}> . @prefix skos: <http://www.w3.org/2004/02/skos/core#> . "
     one = lambda key, kind, name, more: F.concat(F.lit(head + ":"), key, F.lit(f' a owl:NamedIndividual , :{kind} , :Element ; :layer "reference" ; skos:prefLabel "'), name, F.lit('"@es , "'), F.lower(name), F.lit('"@en'), more, F.lit(" ."))
     area = lambda c: F.concat(F.lit("A"), F.col(c).cast("string"))
-    docs = found["region"].select(one(area("r_regionkey"), "Area", F.col("r_name"), F.lit("")))
+    docs = found["region"].select(one(area("r_regionkey"), "Area", F.col("r_name"), F.lit("")).alias("doc"))
     docs = docs.union(found["nation"].select(one(F.concat(F.lit("U"), F.col("n_nationkey").cast("string")), "Unit", F.col("n_name"), F.concat(F.lit(" ; :unitOf :"), area("n_regionkey"), F.lit(" ; :partOf :"), area("n_regionkey")))))
     docs = docs.union(spark.createDataFrame([(f'<{x[:-1]}> a <{turtle.OWL}Ontology> ; <{turtle.RDFS}comment> "c" . [] a <{turtle.OWL}AllDifferent> ; <{turtle.OWL}distinctMembers> ( <{x}A0> <{x}A1> ) .',)], "doc string"))
     nodes, edges = turtle.project(turtle.triples_of(docs), {x + "Area": "KnowledgeArea", x + "Unit": "KnowledgeUnit"}, {x + "unitOf": "PART_OF", x + "partOf": "PART_OF"}, "http://www.w3.org/2004/02/skos/core#prefLabel", {x + "layer": "layer"}, abstract=(x + "Element",), layer="reference")
@@ -455,3 +455,135 @@ def snapshot_problems(spark, sf_dir):
     more = g.of("Concept").filter("key LIKE '%7'").withColumn("label", F.lit("Topic")).unionByName(g.of("Course").withColumn("layer", F.lit("draft")).withColumn("key", F.concat(F.lit("D"), "key")))
     links = g.links("PART_OF").filter("source LIKE 'U%'").withColumn("target", F.lit("A0"))
     return merge.snapshot_problems(Graph(g.nodes.unionByName(more), g.edges.unionByName(links)))
+
+
+def _facts(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    mint = lambda label, norm: F.concat_ws("|", F.lit("new"), label, norm)
+    return assembly.link_outputs(*dirty.outputs(spark, sf_dir), g.nodes, linking.vocabulary(g.nodes), mint)
+
+
+@query
+def linked_edges(spark, sf_dir):
+    return _facts(spark, sf_dir).edges
+
+
+@query
+def linked_nodes(spark, sf_dir):
+    return _facts(spark, sf_dir).nodes.select("doc", "key", "label", "minted")
+
+
+@query
+def linked_taught_and_required(spark, sf_dir):
+    facts = _facts(spark, sf_dir)
+    return facts.taught.withColumn("how", F.lit("taught")).unionByName(facts.required.withColumn("how", F.lit("required")))
+
+
+@query
+def link_discards(spark, sf_dir):
+    return _facts(spark, sf_dir).discards
+
+
+@query
+def assembled_edges(spark, sf_dir):
+    """Number of edges of each type in every document's batch."""
+    declared = tables(spark, sf_dir, "supplier")["supplier"].select(F.col("s_suppkey").alias("doc"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("resource"), F.lit("syllabus").alias("resource_type"), F.concat(F.lit(" "), F.lower("s_name")).alias("code"), F.col("s_name").alias("course_name"))
+    nodes, edges = assembly.assemble(declared, _facts(spark, sf_dir), "https://example.org/")
+    courses = nodes.filter("label = 'Course'").select("doc", F.col("course_code").alias("type"), F.lit(1).cast("long").alias("n"))
+    return edges.groupBy("doc", "type").agg(F.count("*").alias("n")).unionByName(courses)
+
+
+@query
+def vocabulary_lines(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return assembly.vocabulary_lines(linking.vocabulary(g.nodes), g.edges)
+
+
+def _batches(spark, sf_dir):
+    found = tables(spark, sf_dir, "lineitem", "orders", "part", "supplier")
+    lines = found["lineitem"].select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("ordinal"), F.concat(F.lit("C"), F.col("l_partkey").cast("string")).alias("key"), F.concat(F.lit("T"), (F.col("l_suppkey") % 7).cast("string")).alias("topic"))
+    nodes = lines.filter("ordinal <= 3").groupBy("run_id", "key").agg(F.min("ordinal").alias("ordinal")).select("run_id", "ordinal", "key", F.lit("Concept").alias("label"), F.concat_ws("@", "key", F.col("run_id").cast("string")).alias("name"))
+    edges = lines.select("run_id", "ordinal", F.when(F.col("ordinal") % 2 == 1, "PART_OF").otherwise("HAS_PREREQUISITE").alias("type"), F.col("key").alias("source"), F.when(F.col("ordinal") % 2 == 1, F.col("topic")).otherwise(F.lit("C1")).alias("target"))
+    runs_ = found["orders"].select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").cast("string").alias("syllabus"), (F.col("o_orderstatus") == "F").alias("accepted"))
+    reference = found["supplier"].select((F.col("s_suppkey") % 6).alias("k")).distinct().select(F.concat(F.lit("T"), F.col("k").cast("string")).alias("key"), F.lit("Topic").alias("label"), F.concat(F.lit("topic "), F.col("k").cast("string")).alias("name"))
+    return nodes, edges, runs_, reference
+
+
+@query
+def walk_chain(spark, sf_dir):
+    return judging.walk(*_batches(spark, sf_dir))
+
+
+@query
+def walk_isolated(spark, sf_dir):
+    return judging.walk(*_batches(spark, sf_dir), isolated=True)
+
+
+@query
+def judged_runs(spark, sf_dir):
+    cases = tables(spark, sf_dir, "customer")["customer"].filter("c_nationkey % 2 = 0").select(F.col("c_custkey").cast("string").alias("syllabus"))
+    return judging.judged_runs(_batches(spark, sf_dir)[2], cases)
+
+
+@query
+def eval_fusion_counts(spark, sf_dir):
+    rows = tables(spark, sf_dir, "lineitem")["lineitem"].select(F.col("l_suppkey").alias("node"), F.when(F.col("l_suppkey") % 2 == 0, "Topic").otherwise("Concept").alias("label"), F.col("l_partkey").alias("global_id"))
+    compound = tables(spark, sf_dir, "part")["part"].filter("p_size > 5").select(F.col("p_partkey").alias("global_id"))
+    return judging.fusion_counts(rows, compound, tables(spark, sf_dir, "supplier")["supplier"].filter("s_nationkey < 5").select(F.col("s_suppkey").alias("node")))
+
+
+def _review(spark, sf_dir):
+    return tables(spark, sf_dir, "part")["part"].filter("p_size % 2 = 0").select(F.col("p_brand").alias("syllabus"), F.col("p_partkey").alias("row_no"), F.when(F.col("p_partkey") % 3 == 0, F.upper("p_type")).when(F.col("p_partkey") % 3 == 1, F.col("p_name")).otherwise("no such").alias("name"), F.when(F.col("p_partkey") % 5 < 3, " Tema").otherwise("otro").alias("kind"))
+
+
+@query
+def review_comparison(spark, sf_dir):
+    return judging.compare_review(_gold(spark, sf_dir), _review(spark, sf_dir))
+
+
+@query
+def review_pipeline(spark, sf_dir):
+    items = tables(spark, sf_dir, "part")["part"].select(F.col("p_brand").alias("syllabus"), F.col("p_partkey").alias("key"), F.col("p_name").alias("name"))
+    return judging.pipeline_against_review(items, _review(spark, sf_dir), items.filter("key % 11 = 0").select("syllabus", "key"))
+
+
+@query
+def review_total(spark, sf_dir):
+    """Totals over the syllabi, where all of them have the figure and where one lacks it."""
+    shares = judging.pipeline_against_review(tables(spark, sf_dir, "part")["part"].select(F.col("p_brand").alias("syllabus"), F.col("p_partkey").alias("key"), F.col("p_name").alias("name")), _review(spark, sf_dir))
+    lacking = shares.withColumn("registered", F.when(F.col("syllabus") != "Brand#1", F.col("registered")))
+    return judging.guarded_total(shares, "registered", "items").withColumn("of", F.lit("all")).unionByName(judging.guarded_total(lacking, "registered", "items").withColumn("of", F.lit("lacking")))
+
+
+@query
+def review_adjudicated(spark, sf_dir):
+    p = tables(spark, sf_dir, "part")["part"]
+    gaps = p.select(F.col("p_brand").alias("syllabus"), F.when(F.col("p_size") % 2 == 0, "reviewer").otherwise("annotation").alias("side"), F.col("p_name").alias("name")).distinct()
+    decided = p.filter("p_partkey % 4 <> 0").select(F.col("p_brand").alias("syllabus"), F.when(F.col("p_size") % 2 == 0, "reviewer").otherwise("annotation").alias("side"), F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 4 == 1, "").when(F.col("p_partkey") % 4 == 2, "same").otherwise("error").alias("category"))
+    return judging.adjudicated(gaps, decided)
+
+
+@query
+def notion_choices(spark, sf_dir):
+    return judging.notion_choices(_gold(spark, sf_dir))
+
+
+@query
+def kinds_of(spark, sf_dir):
+    return readings.kinds_of(graph(spark, sf_dir))
+
+
+@query
+def kinds_levels(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return readings.kinds_levels(g, g.of("Concept").filter("key LIKE '%5'").select(F.col("key").alias("root")))
+
+
+@query
+def lens_classes(spark, sf_dir):
+    return readings.lenses(graph(spark, sf_dir)).groupBy("lens").agg(F.count("*").alias("n"))
+
+
+@query
+def node_connections(spark, sf_dir):
+    return readings.connections(graph(spark, sf_dir)).groupBy("key").agg(F.count("*").alias("n"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curralis.plans.lineage import settled
+from curralis.plans.lineage import counted, settled
 from curralis.schema import MAX_DEPTH
 
 
@@ -27,8 +27,8 @@ def bfs(seeds: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataF
         depth += 1
         ahead = level.join(steps, level.node == steps.source).select("root", F.col("target").alias("node")).distinct()
         # each level is cut off from the plans before it, so that the plan of the next stays as small as this one's
-        level = settled(ahead.join(out.select("root", "node"), ["root", "node"], "left_anti"))
-        if level.isEmpty():
+        level, n = counted(ahead.join(out.select("root", "node"), ["root", "node"], "left_anti"))
+        if not n:
             break
         out = out.unionByName(level.withColumn("depth", F.lit(depth)))
     return out

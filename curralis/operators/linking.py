@@ -27,10 +27,10 @@ def vocabulary(nodes: DataFrame) -> DataFrame:
 
 
 def names(nodes: DataFrame) -> DataFrame:
-    """(label, norm, key): the key that a normalised name stands for in its class: names in Spanish before English, then the smallest key."""
+    """(label, norm, key): the key that a normalised name stands for in its class: of several nodes with that name in any language the smallest key."""
     each = F.array(F.struct(F.lit(0).alias("rank"), F.col("name_es").alias("name")), F.struct(F.lit(1).alias("rank"), F.col("name_en").alias("name")))
     rows = nodes.select("label", "key", F.explode(each).alias("n")).filter("n.name IS NOT NULL").select("label", "key", "n.rank", normalize_label(F.col("n.name")).alias("norm")).filter("norm <> ''")
-    return rows.groupBy("label", "norm").agg(F.min(F.struct("rank", "key"))["key"].alias("key"))
+    return rows.groupBy("label", "norm").agg(F.min("key").alias("key"))
 
 
 def link(mentions: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -72,7 +72,7 @@ def problems(outputs: DataFrame) -> DataFrame:
 
 def taught_in_headings(required: DataFrame, headings: DataFrame) -> DataFrame:
     """required (doc, name) with promoted: true where a segment of one of the document's headings (doc, heading) names the concept."""
-    parts = headings.select("doc", F.explode(F.split("heading", r"[,;:/()]| y | e | - ")).alias("part")).select("doc", normalize_label(F.col("part")).alias("norm")).distinct()
+    parts = headings.select("doc", F.explode(F.split("heading", r"(?i)[,;:]|\s(?:y|e|and)\s")).alias("part")).select("doc", normalize_label(F.col("part")).alias("norm")).distinct()
     rows = required.withColumn("norm", normalize_label(F.col("name")))
     return rows.join(parts.withColumn("promoted", F.lit(True)), ["doc", "norm"], "left").withColumn("promoted", F.coalesce("promoted", F.lit(False)))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from curralis.operators.closure import partonomy, reversed_edges
 from curralis.operators.components import longest_path_steps
 from curralis.plans.lineage import settled
-from curralis.schema import Graph
+from curralis.schema import CLASSES, LEVELS, Graph
 
 #: Order in which a node's connections are listed.
 CONNECTION_ORDER = ("PART_OF", "HAS_PREREQUISITE", "SPECIALIZES", "TEACHES_CONCEPT", "REQUIRES_CONCEPT", "IS_ABOUT", "HAS_RESOURCE_TYPE")
@@ -149,3 +149,42 @@ def far_nodes(second: DataFrame, most: int = FAR_NODES) -> DataFrame:
     queued = one.withColumn("round", F.row_number().over(Window.partitionBy("root", "via").orderBy("key")))
     n = F.row_number().over(Window.partitionBy("root").orderBy("round", "via"))
     return queued.withColumn("n", n).filter(F.col("n") <= most).select("root", "via", "key")
+
+
+def kinds_of(graph: Graph) -> DataFrame:
+    """(root, role, key, place): what each concept is directly a kind of (general) and which kinds it has (kind), the latter by name."""
+    links = graph.links("SPECIALIZES").select("source", "target")
+    rows = links.select(F.col("source").alias("root"), F.lit("general").alias("role"), F.col("target").alias("key")).union(links.select(F.col("target").alias("root"), F.lit("kind").alias("role"), F.col("source").alias("key")))
+    rows = rows.join(graph.nodes.select("key", "name_es"), "key")
+    place = F.row_number().over(Window.partitionBy("root", "role").orderBy(F.col("name_es").asc_nulls_last(), "key"))
+    return rows.select("root", "role", "key", place.alias("place"))
+
+
+def kinds_levels(graph: Graph, starts: DataFrame) -> DataFrame:
+    """(root, key, level): levels of generalisations above (negative) and of kinds below the starts (root), each to the first empty one."""
+    from curralis.operators.closure import bfs
+
+    seeds = starts.select("root", F.col("root").alias("node"))
+    links, far = graph.links("SPECIALIZES").select("source", "target"), 1 << 30
+    up = bfs(seeds, links, far).select("root", F.col("node").alias("key"), (-F.col("depth")).alias("level"))
+    down = bfs(seeds, reversed_edges(links), far).filter("depth > 0").select("root", F.col("node").alias("key"), F.col("depth").alias("level"))
+    return up.unionByName(down)
+
+
+#: Which questions apply to which classes; fixed values of the data model. A null applies to every class.
+LENSES = {
+    "neighborhood": None,
+    "prerequisites": ("Concept",),
+    "path": (*LEVELS, "Course"),
+    "courses": ("Course",),
+    "location": ("KnowledgeUnit", "Topic", "Concept"),
+    "contents": ("KnowledgeArea", "KnowledgeUnit", "Topic"),
+    "resources": (*LEVELS, "Course"),
+    "kinds": ("Concept",),
+}
+
+
+def lenses(graph: Graph) -> DataFrame:
+    """(key, lens): the questions that apply to each node."""
+    rows = [(lens, c) for lens, classes in LENSES.items() for c in classes or CLASSES]
+    return graph.nodes.select("key", "label").join(F.broadcast(graph.spark.createDataFrame(rows, "lens string, label string")), "label").select("key", "lens")

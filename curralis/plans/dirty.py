@@ -57,6 +57,32 @@ UNION ALL SELECT 'LIKES', 'N' || CAST(p_partkey AS STRING), 'T1' FROM {part} WHE
 UNION ALL SELECT 'IS_ABOUT', 'RREF', 'N' || CAST(p_partkey AS STRING) FROM {part} WHERE p_partkey % 95 = 0
 """
 
+#: What a language model could have said about a document of each supplier: a known and a new topic, known and new concepts, references that are
+#: unknown or of another class.
+TOPICS_SQL = """
+SELECT s_suppkey AS doc, 0 AS t, p_brand AS name, CAST(NULL AS STRING) AS existing, CAST(NULL AS STRING) AS unit FROM {supplier} JOIN {part} ON p_partkey = s_suppkey + 1
+UNION ALL SELECT s_suppkey, 1, p_name || ' y ' || s_name, CAST(NULL AS STRING), CASE WHEN s_suppkey % 17 = 3 THEN 'K-999' WHEN s_suppkey % 19 = 4 THEN 'T-001' ELSE 'K-00' || CAST(s_suppkey % 9 + 1 AS STRING) END FROM {supplier} JOIN {part} ON p_partkey = s_suppkey + 2
+"""
+CONCEPTS_SQL = """
+SELECT l_suppkey AS doc, l_linenumber % 2 AS t, l_orderkey AS c, CASE WHEN l_partkey % 3 = 0 THEN 'nuevo ' || p_name ELSE p_name END AS name, CAST(NULL AS STRING) AS existing
+FROM {lineitem} JOIN {part} ON p_partkey = l_partkey WHERE l_linenumber <= 2
+"""
+REQUIRED_SQL = """
+SELECT l_suppkey AS doc, l_orderkey AS r, p_name AS name, CAST(NULL AS STRING) AS existing FROM {lineitem} JOIN {part} ON p_partkey = l_partkey WHERE l_linenumber >= 4
+UNION ALL SELECT s_suppkey, -1, p_name, CAST(NULL AS STRING) FROM {supplier} JOIN {part} ON p_partkey = s_suppkey + 2
+"""
+RELATIONS_SQL = """
+SELECT l_suppkey AS doc, CASE WHEN l_linenumber = 1 THEN 'HAS_PREREQUISITE' ELSE 'SPECIALIZES' END AS kind, l_orderkey AS n, p.p_name AS source,
+       CASE WHEN l_orderkey % 4 = 0 THEN 'C-00' || CAST(l_orderkey % 9 + 1 AS STRING) ELSE h.p_name END AS target
+FROM {lineitem} JOIN {part} AS p ON p.p_partkey = l_partkey JOIN {part} AS h ON h.p_partkey = l_suppkey + 2 WHERE l_linenumber <= 2 AND l_partkey % 3 <> 0
+"""
+
+
+def outputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """topics, concepts, required and relations of the documents."""
+    found = tables(spark, sf_dir, "supplier", "part", "lineitem")
+    return tuple(spark.sql(sql, **{n: df for n, df in found.items() if "{" + n + "}" in sql}) for sql in (TOPICS_SQL, CONCEPTS_SQL, REQUIRED_SQL, RELATIONS_SQL))
+
 
 def raw_graph(spark: SparkSession, sf_dir: str) -> RawGraph:
     clean = graph(spark, sf_dir)

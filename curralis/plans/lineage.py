@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -39,3 +39,10 @@ def settled(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, what: Column | None = None) -> tuple[DataFrame, int]:
+    """settled(df), and the number of its rows (or of those for which what holds), observed by the job that writes it."""
+    seen = Observation()
+    out = settled(df.observe(seen, F.count(F.lit(1)).alias("n") if what is None else F.count_if(what).alias("n")))
+    return out, seen.get["n"]

@@ -259,3 +259,82 @@ ORACLES["turtle_projection"] = """SELECT 'KnowledgeArea' AS kind, 'http://exampl
 ORACLES["snapshot_problems"] = with_graph(""" SELECT key, 'classes Concept Topic' AS problem FROM nodes WHERE label = 'Concept' AND key LIKE '%7'
     UNION ALL SELECT 'D' || key, 'layer draft' FROM nodes WHERE label = 'Course'
     UNION ALL SELECT source, 'areas A0 ' || target FROM edges WHERE type = 'PART_OF' AND source LIKE 'U%' AND target <> 'A0'""")
+
+from curralis.plans.dirty import CONCEPTS_SQL, RELATIONS_SQL, REQUIRED_SQL, TOPICS_SQL  # noqa: E402
+
+_star = {n: n for n in (*TABLES, "lineitem")}
+_VOC = """voc AS (SELECT CASE label WHEN 'KnowledgeUnit' THEN 'K' WHEN 'Topic' THEN 'T' ELSE 'C' END || '-' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS ref, key, label
+        FROM (SELECT key, label, row_number() OVER (PARTITION BY label ORDER BY name_es NULLS LAST, key) AS n FROM nodes WHERE label IN ('KnowledgeUnit', 'Topic', 'Concept')))"""
+_LINK = f""", {_VOC},
+    kn AS (SELECT label, norm, min(key) AS key FROM (SELECT label, key, {_norm('name_es')} AS norm FROM nodes UNION ALL SELECT label, key, {_norm('name_en')} FROM nodes) WHERE norm <> '' GROUP BY label, norm),
+    tp AS (SELECT x.*, coalesce(kn.key, 'new|Topic|' || x.norm) AS key, kn.key IS NULL AS minted FROM (SELECT *, {_norm('name')} AS norm FROM ({TOPICS_SQL.format(**_star)})) x LEFT JOIN kn ON kn.label = 'Topic' AND kn.norm = x.norm),
+    cp AS (SELECT x.*, coalesce(kn.key, 'new|Concept|' || x.norm) AS key, kn.key IS NULL AS minted FROM (SELECT *, {_norm('name')} AS norm FROM ({CONCEPTS_SQL.format(**_star)})) x LEFT JOIN kn ON kn.label = 'Concept' AND kn.norm = x.norm),
+    rq AS (SELECT x.*, coalesce(kn.key, 'new|Concept|' || x.norm) AS key, kn.key IS NULL AS minted FROM (SELECT *, {_norm('name')} AS norm FROM ({REQUIRED_SQL.format(**_star)})) x LEFT JOIN kn ON kn.label = 'Concept' AND kn.norm = x.norm),
+    un AS (SELECT tp.doc, tp.name, tp.key AS topic, voc.key, CASE WHEN voc.key IS NULL THEN 'EX-02' WHEN voc.label <> 'KnowledgeUnit' THEN 'EX-03' END AS discard FROM tp LEFT JOIN voc ON voc.ref = tp.unit WHERE tp.minted AND tp.unit IS NOT NULL),
+    bad AS (SELECT DISTINCT doc FROM un WHERE discard IS NOT NULL),
+    sg AS (SELECT DISTINCT doc, topic, {_norm('s')} AS norm FROM (SELECT doc, key AS topic, unnest(string_split_regex(name, '(?i)[,;:]|\\s(?:y|e|and)\\s')) AS s FROM tp)),
+    hs AS (SELECT DISTINCT rq.doc, rq.key, sg.topic FROM rq JOIN sg ON sg.doc = rq.doc AND sg.norm = rq.norm),
+    pl AS (SELECT cp.doc, cp.key, tp.key AS topic FROM cp JOIN tp ON tp.doc = cp.doc AND tp.t = cp.t),
+    ta AS (SELECT doc, key FROM pl UNION SELECT doc, key FROM hs),
+    ne AS (SELECT doc, key FROM rq EXCEPT SELECT doc, key FROM ta),
+    bn_ AS (SELECT doc, norm, arg_min(key, o) AS key FROM (SELECT doc, norm, key, (0, t, c) AS o FROM cp UNION ALL SELECT doc, norm, key, (1, r, 0) FROM rq) GROUP BY doc, norm),
+    re AS (SELECT doc, kind, {_norm('source')} AS s, target, CASE WHEN NOT regexp_matches(target, '^[KTC]-[0-9]{{3,}}$') THEN {_norm('target')} END AS t FROM ({RELATIONS_SQL.format(**_star)})),
+    rl AS (SELECT re.doc, re.kind, a.key AS source, coalesce(b.key, voc.key) AS target FROM re JOIN bn_ a ON a.doc = re.doc AND a.norm = re.s LEFT JOIN bn_ b ON b.doc = re.doc AND b.norm = re.t LEFT JOIN voc ON re.t IS NULL AND voc.ref = re.target),
+    le AS (SELECT doc, 'PART_OF' AS type, topic AS source, key AS target FROM un WHERE discard IS NULL UNION SELECT doc, 'PART_OF', key, topic FROM pl UNION SELECT doc, 'PART_OF', key, topic FROM hs UNION SELECT doc, kind, source, target FROM rl WHERE source <> target),
+    ln AS (SELECT doc, key, label, bool_and(minted) AS minted FROM (SELECT doc, key, 'Topic' AS label, minted FROM tp UNION ALL SELECT doc, key, 'Concept', minted FROM cp UNION ALL SELECT doc, key, 'Concept', minted FROM rq) GROUP BY doc, key, label)
+"""
+_good = lambda t: f"{t} WHERE doc NOT IN (SELECT doc FROM bad)"
+ORACLES["linked_edges"] = with_graph(_LINK + f"SELECT * FROM {_good('le')}")
+ORACLES["linked_nodes"] = with_graph(_LINK + f"SELECT * FROM {_good('ln')}")
+ORACLES["linked_taught_and_required"] = with_graph(_LINK + f"SELECT doc, key, 'taught' AS how FROM {_good('ta')} UNION ALL SELECT doc, key, 'required' FROM {_good('ne')}")
+ORACLES["link_discards"] = with_graph(_LINK + "SELECT DISTINCT doc, discard, 'unit of ' || name AS place FROM un WHERE discard IS NOT NULL")
+ORACLES["assembled_edges"] = with_graph(_LINK + f"""SELECT doc, type, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc, type FROM {_good('le')} UNION ALL SELECT doc, 'TEACHES_CONCEPT' FROM {_good('ta')} UNION ALL SELECT doc, 'REQUIRES_CONCEPT' FROM {_good('ne')}
+    UNION ALL SELECT doc, 'IS_ABOUT' FROM {_good('ln')} AND label = 'Topic' UNION ALL SELECT s_suppkey, unnest(['IS_ABOUT', 'HAS_RESOURCE_TYPE']) FROM supplier WHERE s_suppkey NOT IN (SELECT doc FROM bad)) GROUP BY doc, type
+    UNION ALL SELECT s_suppkey, upper(trim(s_name)), 1 FROM supplier WHERE s_suppkey NOT IN (SELECT doc FROM bad)""")
+ORACLES["vocabulary_lines"] = with_graph(f""", {_VOC} SELECT DISTINCT a.ref || CASE type WHEN 'PART_OF' THEN ' part of ' WHEN 'HAS_PREREQUISITE' THEN ' requires ' ELSE ' is a kind of ' END || b.ref AS line FROM edges e JOIN voc a ON a.key = e.source JOIN voc b ON b.key = e.target WHERE type IN ('PART_OF', 'HAS_PREREQUISITE', 'SPECIALIZES')""")
+
+
+def _walk(isolated: bool) -> str:
+    before = "NULL" if isolated else "(SELECT arg_max(m.name, m.run_id) FROM n m JOIN orders ON o_orderkey = m.run_id AND o_orderstatus = 'F' WHERE m.key = x.key AND m.run_id < x.run_id)"
+    return f"""WITH l AS (SELECT l_orderkey AS run_id, l_linenumber AS o, 'C' || l_partkey AS key, 'T' || l_suppkey % 7 AS topic FROM lineitem),
+    n AS (SELECT run_id, key, min(o) AS o, key || '@' || run_id AS name FROM l WHERE o <= 3 GROUP BY run_id, key),
+    d AS (SELECT run_id, key, min(pos) AS pos, max(p) AS p FROM (SELECT run_id, key, 2 * o AS pos, o % 2 AS p FROM l UNION ALL SELECT run_id, CASE WHEN o % 2 = 1 THEN topic ELSE 'C1' END, 2 * o + 1, o % 2 FROM l) GROUP BY run_id, key),
+    x AS (SELECT coalesce(n.run_id, d.run_id) AS run_id, coalesce(n.key, d.key) AS key, n.o, n.name AS own, d.pos, d.p FROM n FULL JOIN d ON d.run_id = n.run_id AND d.key = n.key),
+    f AS (SELECT DISTINCT 'T' || s_suppkey % 6 AS key, 'topic ' || s_suppkey % 6 AS name FROM supplier),
+    w AS (SELECT x.*, coalesce(own, {before}, (SELECT f.name FROM f WHERE f.key = x.key)) AS name FROM x)
+    SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY o NULLS LAST, pos, key) AS INTEGER) AS place, key, CASE WHEN name IS NOT NULL THEN CASE WHEN key LIKE 'T%' THEN 'Topic' ELSE 'Concept' END END AS label, name, coalesce(p, 1) = 0 AS related, name IS NULL AS unknown FROM w"""
+
+
+ORACLES["walk_chain"], ORACLES["walk_isolated"] = _walk(False), _walk(True)
+ORACLES["judged_runs"] = """WITH f AS (SELECT o_custkey, min(o_orderkey) AS first FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey)
+    SELECT o_orderkey AS run_id, CAST(o.o_custkey AS VARCHAR) AS syllabus, CASE WHEN c_custkey IS NULL THEN 'no test case' WHEN o_orderkey > first THEN 'late' WHEN o_orderstatus = 'F' THEN 'measured' ELSE 'rejected' END AS role
+    FROM orders o LEFT JOIN f ON f.o_custkey = o.o_custkey LEFT JOIN customer ON c_custkey = o.o_custkey AND c_nationkey % 2 = 0"""
+ORACLES["eval_fusion_counts"] = """WITH m AS (SELECT DISTINCT l_suppkey AS node, l_suppkey % 2 AS label, l_partkey AS g FROM lineitem), c AS (SELECT p_partkey AS g FROM part WHERE p_size > 5), h AS (SELECT s_suppkey AS node FROM supplier WHERE s_nationkey < 5),
+    k AS (SELECT g, label, count(*) AS n, count(*) FILTER (node IN (SELECT node FROM h)) AS held FROM m GROUP BY g, label), w AS (SELECT node, count(*) AS n, count(*) FILTER (g NOT IN (SELECT g FROM c)) AS plain FROM m GROUP BY node)
+    SELECT (SELECT count(DISTINCT g) FROM k WHERE n > 1) AS duplicated_notions, (SELECT CAST(sum(n - 1) AS BIGINT) FROM k WHERE n > 1) AS surplus_nodes, (SELECT count(*) FROM (SELECT g FROM k GROUP BY g HAVING count(*) > 1)) AS split_notions,
+           (SELECT count(DISTINCT g) FROM k WHERE n > 1 AND held > 0) AS duplicated_with_held_out, count(*) AS nodes_with_hits, count(*) FILTER (n > 1 AND plain <> 1) AS wrong_fusions, count(*) FILTER (n > 1 AND plain = 1) AS excepted_fusions,
+           count(*) FILTER (n > 1 AND plain <> 1 AND node IN (SELECT node FROM h)) AS wrong_with_held_out FROM w"""
+_REVIEW = f"(SELECT p_brand AS syllabus, p_partkey AS row_no, {_norm('nm')} AS norm, kind FROM (SELECT *, CASE p_partkey % 3 WHEN 0 THEN upper(p_type) WHEN 1 THEN p_name ELSE 'no such' END AS nm, CASE WHEN p_partkey % 5 < 3 THEN 'tema' ELSE 'otro' END AS kind FROM part WHERE p_size % 2 = 0))"
+ORACLES["review_comparison"] = f"""WITH g AS (SELECT p_brand AS syllabus, 'G' || p_partkey % 500 AS gid, CASE WHEN p_size % 4 = 0 THEN 'tema' ELSE 'concepto' END AS kind, p_size % 3 <> 0 AS must, p_name, p_type FROM part),
+    nm AS (SELECT DISTINCT gid, {_norm('p_name')} AS norm FROM g UNION SELECT gid, {_norm('p_type')} FROM g), r AS (SELECT syllabus, norm, arg_min(kind, row_no) AS kind, count(*) AS n FROM {_REVIEW} GROUP BY syllabus, norm),
+    m AS (SELECT DISTINCT r.syllabus, r.norm, r.kind, g.gid, g.kind AS gk FROM r JOIN g ON g.syllabus = r.syllabus JOIN nm ON nm.gid = g.gid AND nm.norm = r.norm),
+    a AS (SELECT syllabus, count(*) AS names, CAST(sum(n) - count(*) AS BIGINT) AS repeated_rows FROM r GROUP BY syllabus),
+    b AS (SELECT syllabus, count(DISTINCT norm) AS registered, count(DISTINCT norm) FILTER (kind IN ('tema', 'concepto')) AS typed, count(DISTINCT norm) FILTER (kind = gk) AS agreeing FROM m GROUP BY syllabus),
+    q AS (SELECT syllabus, gid, bool_or(must) AS must FROM g GROUP BY syllabus, gid), c AS (SELECT q.syllabus, count(*) AS notions, count(*) FILTER (x) AS extracted, count(*) FILTER (must) AS mandatory, count(*) FILTER (must AND x) AS mandatory_extracted
+      FROM (SELECT q.*, EXISTS (SELECT 1 FROM m WHERE m.syllabus = q.syllabus AND m.gid = q.gid) AS x FROM q) q GROUP BY q.syllabus)
+    SELECT *, notions - mandatory AS acceptable, extracted - mandatory_extracted AS acceptable_extracted FROM (SELECT a.*, c.* EXCLUDE (syllabus), coalesce(registered, 0) AS registered, coalesce(typed, 0) AS typed, coalesce(agreeing, 0) AS agreeing FROM a JOIN c USING (syllabus) LEFT JOIN b USING (syllabus))"""
+_PIPE = f"(SELECT p_brand AS syllabus, count(*) AS items, count(*) FILTER (hit {{}}) AS registered FROM (SELECT p_brand, p_partkey, (p_brand, {_norm('p_name')}) IN (SELECT (syllabus, norm) FROM {_REVIEW}) AS hit FROM part) GROUP BY p_brand)"
+ORACLES["review_pipeline"] = f"SELECT *, registered / items AS share FROM {_PIPE.format('OR p_partkey % 11 = 0')}"
+ORACLES["review_total"] = f"""WITH p AS (SELECT * FROM {_PIPE.format('')}) SELECT 'all' AS "of", CAST(sum(registered) AS BIGINT) AS part, CAST(sum(items) AS BIGINT) AS whole, sum(registered) / sum(items) AS share FROM p
+    UNION ALL SELECT 'lacking', NULL, NULL, NULL WHERE EXISTS (SELECT 1 FROM p WHERE syllabus = 'Brand#1') UNION ALL SELECT 'lacking', CAST(sum(registered) AS BIGINT), CAST(sum(items) AS BIGINT), sum(registered) / sum(items) FROM p WHERE NOT EXISTS (SELECT 1 FROM p WHERE syllabus = 'Brand#1') HAVING count(*) > 0"""
+ORACLES["review_adjudicated"] = """WITH s AS (SELECT p_brand AS syllabus, CASE WHEN p_size % 2 = 0 THEN 'reviewer' ELSE 'annotation' END AS side, p_name AS name, p_partkey % 4 AS k FROM part),
+    c AS (SELECT syllabus, side, name, max(CASE k WHEN 2 THEN 'same' WHEN 3 THEN 'error' END) AS category FROM s GROUP BY ALL) SELECT syllabus, side, coalesce(category, 'pending') AS category, count(*) AS n FROM c GROUP BY ALL"""
+ORACLES["notion_choices"] = f"SELECT syllabus, global_id, global_id || ' · ' || arg_min(p_name, entry_id) AS choice FROM {_GOLD} GROUP BY syllabus, global_id"
+ORACLES["kinds_of"] = with_graph(""" SELECT root, role, key, CAST(row_number() OVER (PARTITION BY root, role ORDER BY name_es NULLS LAST, key) AS INTEGER) AS place
+    FROM (SELECT source AS root, 'general' AS role, target AS key FROM edges WHERE type = 'SPECIALIZES' UNION ALL SELECT target, 'kind', source FROM edges WHERE type = 'SPECIALIZES') JOIN nodes USING (key)""")
+_from5 = "SELECT key, key, 0 FROM nodes WHERE label = 'Concept' AND key LIKE '%5'"
+ORACLES["kinds_levels"] = with_graph(_closure("f", _from5, "SPECIALIZES", 99) + _closure("b", _from5, "SPECIALIZES", 99, back=True) + " SELECT root, node AS key, -depth AS level FROM f UNION ALL SELECT root, node, depth FROM b WHERE depth > 0")
+ORACLES["lens_classes"] = with_graph(""" SELECT lens, count(*) AS n FROM nodes JOIN (VALUES ('prerequisites', 'Concept'), ('kinds', 'Concept'), ('courses', 'Course'), ('location', 'KnowledgeUnit Topic Concept'), ('contents', 'KnowledgeArea KnowledgeUnit Topic'),
+    ('path', 'KnowledgeArea KnowledgeUnit Topic Concept Course'), ('resources', 'KnowledgeArea KnowledgeUnit Topic Concept Course'), ('neighborhood', 'KnowledgeArea KnowledgeUnit Topic Concept Course LearningResource ResourceType')) v(lens, classes)
+    ON list_contains(string_split(classes, ' '), label) GROUP BY lens""")
+ORACLES["node_connections"] = with_graph(" SELECT key, count(*) AS n FROM (SELECT source AS key FROM edges WHERE type <> 'WAS_DERIVED_FROM' UNION ALL SELECT target FROM edges WHERE type <> 'WAS_DERIVED_FROM') GROUP BY key")

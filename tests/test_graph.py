@@ -111,7 +111,9 @@ def test_audit_of_a_clean_graph_and_of_injections(spark, graph):
     assert found["RI-01"][0] == found["RI-07"][0] == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [500_000, 0])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
     edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "c"), ("f", "f"), ("e", "g")], "source string, target string")
     assert {tuple(r) for r in components.strongly_connected(edges).collect()} == {("a", "b"), ("b", "b"), ("c", "e"), ("d", "e"), ("e", "e"), ("f", "f")}
     both = spark.createDataFrame([(5, 4), (4, 9), (2, 7)], "a long, b long")
