@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from curralis.llm.common import lean, written
 
 LONG = 50
-#: Ids of texts with candidates are broadcast up to this many; beyond, the texts are shuffled once more.
+#: Ids of texts with candidates are broadcast up to this many, so that only those texts are shuffled; beyond, all are.
 SENT = 150_000
 
 
@@ -69,8 +69,10 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     repeated = every.groupBy("sha").agg(F.count("*").alias("n")).filter("n > 1").select("sha")
     likely = written(every.join(repeated, "sha", "left_semi").select(*every.columns), "repeated-windows")
     spans = written(likely.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("start", "end", "sha")).alias("spans")), "texts-with-windows").toDF("id", "of", "spans")
-    spans = F.broadcast(spans) if spans.count() <= SENT else spans
-    held = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of"))).select("doc_id", "digest", "text", "spans")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of"))
+    if spans.count() <= SENT:  # ids alone are sent, 24 bytes each; the windows of long texts may be many
+        rows = rows.join(F.broadcast(spans.select("id", "of")), same, "left_semi")
+    held = rows.join(spans, same).select("doc_id", "digest", "text", "spans")
     # equal bytes are combined on the map side: a frequent window is one row per task
     first = F.min(F.struct("doc_id", "digest", "start", "end")).alias("first")
     groups = held.mapInArrow(lean("lines", full), f"{schema}, body binary").groupBy("body").agg(first, F.count("*").alias("n"), F.min("sha").alias("sha")).filter("n > 1").select("sha", "first")
