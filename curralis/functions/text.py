@@ -34,7 +34,7 @@ def _bare(text: Column) -> Column:
         code = F.ascii(c) - 0xAC00
         return F.when(c.between("\uac00", "\ud7a3"), F.concat(F.get(lead, F.floor(code / 588).cast("int")), F.get(vowel, F.floor(code % 588 / 28).cast("int")), F.get(tail, code % 28))).otherwise(c)
 
-    return F.when(bare.rlike("[\uac00-\ud7a3]"), F.array_join(F.transform(F.split(bare, ""), one), "")).otherwise(bare)
+    return F.when(text.rlike("[\uac00-\ud7a3]"), F.array_join(F.transform(F.split(bare, ""), one), "")).otherwise(bare)
 
 
 def fold(text: Column) -> Column:
