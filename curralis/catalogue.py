@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curralis.functions.text import fold, normalize_label, tokens
-from curralis.operators import assembly, audit, components, evaluate, judging, linking, merge, navigation, readings, runs, validate
+from curralis.operators import annotation, assembly, audit, components, evaluate, judging, linking, merge, navigation, readings, runs, validate
 from curralis.operators.closure import bfs, partonomy, reversed_edges
 from curralis.plans import dirty
 from curralis.plans.oracles import ORACLES  # noqa: F401
 from curralis.schema import MAX_RESULTS, Graph  # noqa: F401
 from curralis.sources import turtle
+from curralis.sources.cache import content_digest
 from curralis.sources.star import graph, tables
 
 QUERIES: dict = {}
@@ -576,7 +577,7 @@ def kinds_of(spark, sf_dir):
 @query
 def kinds_levels(spark, sf_dir):
     g = graph(spark, sf_dir)
-    return readings.kinds_levels(g, g.of("Concept").filter("key LIKE '%5'").select(F.col("key").alias("root")))
+    return readings.kinds_levels(g, _starts(g, "Concept"))
 
 
 @query
@@ -587,3 +588,69 @@ def lens_classes(spark, sf_dir):
 @query
 def node_connections(spark, sf_dir):
     return readings.connections(graph(spark, sf_dir)).groupBy("key").agg(F.count("*").alias("n"))
+
+
+def _entries(spark, sf_dir):
+    return tables(spark, sf_dir, "part")["part"].select(F.col("p_partkey").alias("row_no"), F.concat("p_name", F.lit(" "), "p_size").alias("label"), F.array(F.concat("p_type", F.lit(" "), "p_brand", F.lit(" "), "p_size")).alias("aliases"), "p_size")
+
+
+@query
+def ruled_notions(spark, sf_dir):
+    """Notions under rulings: compound headings, names that don't link an entry, entries joined by hand."""
+    rows = _entries(spark, sf_dir)
+    apart = rows.filter("p_size % 10 = 1").select("row_no", annotation.loose_name(F.col("label")).alias("name"))
+    joined = rows.filter("p_size = 50").select(F.col("row_no").alias("a"), (F.col("row_no") % 7 + 1).alias("b"))
+    return annotation.ruled_ids(rows, rows.filter("p_size % 10 = 0"), apart, joined)
+
+
+@query
+def loose_names(spark, sf_dir):
+    return tables(spark, sf_dir, "part")["part"].select("p_partkey", annotation.loose_name(F.concat("p_type", F.lit(" "), "p_brand")).alias("name"), annotation.singular_head(F.concat("p_type", F.lit("s (de) "), "p_name")).alias("head"))
+
+
+@query
+def annotation_problems(spark, sf_dir):
+    n = F.col("p_partkey")
+    kind = F.when(F.col("p_size") % 4 == 0, "tema").when(F.col("p_size") == 7, "otro").otherwise("concepto")
+    grade = F.when(F.col("p_size") % 3 == 0, "aceptable").when(F.col("p_size") == 11, "").otherwise("obligatoria")
+    parent = F.when(n % 3 == 0, (n - F.col("p_size") % 30).cast("string")).otherwise("")
+    note = F.when(F.col("p_size") % 5 == 0, 'a ""b""').when(F.col("p_size") % 5 == 1, "n").otherwise("")
+    cells = [n.cast("string"), kind, grade, F.col("p_name"), F.lit(""), parent, F.when(F.col("p_size") == 13, "x").otherwise("sumilla"), F.lit("e")]
+    line = F.concat(F.concat_ws("\t", *cells), F.when(F.col("p_size") == 50, "").otherwise(F.concat(F.lit("\t"), note)))
+    return annotation.format_problems(tables(spark, sf_dir, "part")["part"].select((F.col("p_size") % 2).alias("file"), line.alias("line"))).withColumn("file", F.col("file").cast("long"))
+
+
+def _cases(spark, sf_dir):
+    return tables(spark, sf_dir, "customer")["customer"].select(F.col("c_custkey").cast("string").alias("syllabus"))
+
+
+def _runs(spark, sf_dir):
+    return tables(spark, sf_dir, "orders")["orders"].select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").cast("string").alias("syllabus"), (F.col("o_orderstatus") == "F").alias("accepted"))
+
+
+@query
+def run_warnings(spark, sf_dir):
+    return judging.warnings(_runs(spark, sf_dir), _cases(spark, sf_dir))
+
+
+@query
+def run_verdict(spark, sf_dir):
+    """Of the runs' cases, where some have no run, and of those that have one."""
+    scored, done = _scored(spark, sf_dir), _runs(spark, sf_dir)
+    some = _cases(spark, sf_dir).join(done, "syllabus", "left_semi")
+    return judging.verdict_of(scored, done, _cases(spark, sf_dir)).withColumn("of", F.lit("all")).unionByName(judging.verdict_of(scored, done, some).withColumn("of", F.lit("run")))
+
+
+@query
+def tree_counts(spark, sf_dir):
+    return readings.tree_counts(graph(spark, sf_dir))
+
+
+@query
+def overview_ring(spark, sf_dir):
+    return readings.overview_ring(navigation.overview(graph(spark, sf_dir)))
+
+
+@query
+def content_digests(spark, sf_dir):
+    return tables(spark, sf_dir, "documents")["documents"].select("doc_id", content_digest(F.col("text")).alias("digest"))

@@ -24,9 +24,9 @@ PROTECTED = ("https", "ips", "ids", "ftps", "smtps", "imaps", "ldaps", "pop3s",
 _KEPT = "\ue000"
 
 
-def _bare(text: Column) -> Column:
+def bare(text: Column) -> Column:
     """text in small letters, without marks; Hangul syllables as their two or three letters, as canonical decomposition has them."""
-    bare = F.translate(F.regexp_replace(F.lower(text), r"\p{Mn}", ""), _FROM, _TO)
+    plain = F.translate(F.regexp_replace(F.lower(text), r"\p{Mn}", ""), _FROM, _TO)
     parts = lambda first, n: F.array(*[F.lit(chr(first + k) if first + k != 0x11A7 else "") for k in range(n)])
     lead, vowel, tail = parts(0x1100, 19), parts(0x1161, 21), parts(0x11A7, 28)
 
@@ -34,12 +34,12 @@ def _bare(text: Column) -> Column:
         code = F.ascii(c) - 0xAC00
         return F.when(c.between("\uac00", "\ud7a3"), F.concat(F.get(lead, F.floor(code / 588).cast("int")), F.get(vowel, F.floor(code % 588 / 28).cast("int")), F.get(tail, code % 28))).otherwise(c)
 
-    return F.when(text.rlike("[\uac00-\ud7a3]"), F.array_join(F.transform(F.split(bare, ""), one), "")).otherwise(bare)
+    return F.when(text.rlike("[\uac00-\ud7a3]"), F.array_join(F.transform(F.split(plain, ""), one), "")).otherwise(plain)
 
 
 def fold(text: Column) -> Column:
     """Lower case without accents; typographic apostrophes become plain ones. Stays in generated code."""
-    return F.regexp_replace(_bare(text), "’", "'")
+    return F.regexp_replace(bare(text), "’", "'")
 
 
 def tokens(folded: Column) -> Column:
@@ -56,7 +56,7 @@ def singular(word: Column) -> Column:
 
 def normalize_label(label: Column) -> Column:
     """Folded, separators as single spaces, + and # kept right behind a letter and not before one, every word in the singular."""
-    text = F.regexp_replace(_bare(label), r"(?<=\p{L})([+#]++)(?!\p{L})", "$1" + _KEPT)
+    text = F.regexp_replace(bare(label), r"(?<=\p{L})([+#]++)(?!\p{L})", "$1" + _KEPT)
     text = F.regexp_replace(text, rf"[+#](?![+#]*{_KEPT})|[^\p{{L}}\p{{N}}+#{_KEPT}]", " ")
     words = F.transform(F.split(F.regexp_replace(text, _KEPT, ""), " +"), singular)
     return F.array_join(F.filter(words, lambda w: w != ""), " ")

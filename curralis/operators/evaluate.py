@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curralis.functions.text import normalize_label
+from curralis.operators.annotation import numbered
 from curralis.operators.components import connected
 
 THRESHOLD, MAX_ATTEMPTS = 0.75, 3
@@ -188,11 +189,7 @@ def global_ids(entries: DataFrame) -> DataFrame:
     names = entries.select("row_no", each.alias("n")).select("row_no", normalize_label(F.col("n")).alias("name")).filter("name <> ''").distinct()
     first = names.groupBy("name").agg(F.min("row_no").alias("a"))
     found = connected(names.join(first, "name").select("a", F.col("row_no").alias("b")), entries.select(F.col("row_no").alias("node")))
-    # the component is named by its first row, so ids follow the order of first appearance
-    heads = found.select("component").distinct()
-    n = F.row_number().over(Window.orderBy("component"))  # one row per notion
-    numbered = heads.select("component", F.concat(F.lit("G-"), F.when(n < 10000, F.lpad(n.cast("string"), 4, "0")).otherwise(n.cast("string"))).alias("global_id"))
-    return found.join(numbered, "component").select(F.col("node").alias("row_no"), "global_id")
+    return numbered(found)
 
 
 def latency_summary(times: DataFrame, limit_ms: int = 1000) -> DataFrame:

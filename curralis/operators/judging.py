@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curralis.functions.text import normalize_label
-from curralis.operators.evaluate import MANDATORY, gold_names, mandatory_notions, ratio
+from curralis.operators.evaluate import MANDATORY, MAX_ATTEMPTS, THRESHOLD, attempts, gold_names, mandatory_notions, ratio
 
 JUDGED = ("Topic", "Concept")
 
@@ -51,6 +51,23 @@ def judged_runs(runs: DataFrame, syllabi: DataFrame) -> DataFrame:
     return rows.select("run_id", "syllabus", role.alias("role"))
 
 
+def warnings(runs: DataFrame, syllabi: DataFrame) -> DataFrame:
+    """(warning, run_id, syllabus) of a chain of runs (run_id, syllabus, accepted): accepted ones of no test case, runs after the accepted one of
+    theirs, syllabi that needed more than MAX_ATTEMPTS, and test cases without any run, which leave no verdict."""
+    told = judged_runs(runs, syllabi).join(runs.select("run_id", "accepted"), "run_id")
+    rows = told.select(F.when((F.col("role") == "no test case") & F.col("accepted"), "no test case").when(F.col("role") == "late", "late").alias("warning"), "run_id", "syllabus").filter("warning IS NOT NULL")
+    many = attempts(runs).join(syllabi.select("syllabus"), "syllabus", "left_semi").filter(F.col("attempts") > MAX_ATTEMPTS).select(F.lit("attempts").alias("warning"), "run_id", "syllabus")
+    none = syllabi.select("syllabus").distinct().join(runs, "syllabus", "left_anti").select(F.lit("not run").alias("warning"), F.lit(None).cast(runs.schema["run_id"].dataType).alias("run_id"), "syllabus")
+    return rows.unionByName(many).unionByName(none)
+
+
+def verdict_of(measures: DataFrame, runs: DataFrame, syllabi: DataFrame) -> DataFrame:
+    """(precision, complete, passes) of all measures (hits, proposed); passes is null unless every test case has a run."""
+    open_ = syllabi.select("syllabus").distinct().join(runs, "syllabus", "left_anti").agg((F.count("*") == 0).alias("complete"))
+    sums = measures.agg(ratio(F.sum("hits"), F.sum("proposed")).alias("precision"))
+    return sums.join(open_, F.lit(True)).withColumn("passes", F.when(F.col("complete"), F.col("precision") >= THRESHOLD))  # two single rows
+
+
 def attempts_in(runs: DataFrame, written: DataFrame, first: int, last: int | None = None) -> DataFrame:
     """(run_id, syllabus, accepted) of the runs (run_id, syllabus, state) of a window that left something to judge: stored facts (written: run_id) or a rejection."""
     rows = runs.filter(F.col("run_id") >= first) if last is None else runs.filter(F.col("run_id").between(first, last))

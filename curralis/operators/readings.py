@@ -13,6 +13,8 @@ from curralis.schema import CLASSES, LEVELS, Graph
 #: Order in which a node's connections are listed.
 CONNECTION_ORDER = ("PART_OF", "HAS_PREREQUISITE", "SPECIALIZES", "TEACHES_CONCEPT", "REQUIRES_CONCEPT", "IS_ABOUT", "HAS_RESOURCE_TYPE")
 CLUSTER, FAR_NODES = 14, 10
+#: Wholes that a chain names at most; concepts that a tree shows, and units without parts that it names; fixed values.
+MAX_CHAIN, TREE_CONCEPTS, BARE_UNITS = 7, 24, 4
 
 
 def documents_of_edges(graph: Graph) -> DataFrame:
@@ -32,16 +34,17 @@ def connections(graph: Graph) -> DataFrame:
 
 
 def location_chains(graph: Graph, starts: DataFrame | None = None) -> DataFrame:
-    """(root, chain): every chain of wholes from the outermost one down to the element's own parent, joined by ' > '."""
+    """(root, chain): every chain of wholes from the outermost one down to the element's own parent, joined by ' > '; cut at MAX_CHAIN wholes, so that a cycle ends."""
     part_of = graph.links("PART_OF").select("source", "target")
     level = part_of.select(F.col("source").alias("root"), F.col("target").alias("top"), F.array("target").alias("chain"))
     if starts is not None:
         level = level.join(starts.select("root"), "root", "left_semi")
     out = None
-    for _ in range(3):  # a partonomy has no longer chains
-        ends = level.join(part_of.select(F.col("source").alias("top")), "top", "left_anti").select("root", "chain")
-        out = ends if out is None else out.unionByName(ends)
-        level = level.join(part_of, level.top == part_of.source).select("root", F.col("target").alias("top"), F.concat(F.array("target"), "chain").alias("chain"))
+    for wholes in range(1, MAX_CHAIN + 1):
+        ends = level if wholes == MAX_CHAIN else level.join(part_of.select(F.col("source").alias("top")), "top", "left_anti")
+        out = ends.select("root", "chain") if out is None else out.unionByName(ends.select("root", "chain"))
+        if wholes < MAX_CHAIN:
+            level = level.join(part_of, level.top == part_of.source).select("root", F.col("target").alias("top"), F.concat(F.array("target"), "chain").alias("chain"))
     return out.select("root", F.array_join("chain", " > ").alias("chain"))
 
 
@@ -136,6 +139,34 @@ def concepts_under(graph: Graph) -> DataFrame:
     return rows.select("key", "label", F.coalesce("children", F.lit(0)).alias("children"), F.coalesce("concepts", F.lit(0)).alias("concepts"))
 
 
+def tree_counts(graph: Graph) -> DataFrame:
+    """(key, units, topics, concepts, with_concepts, bare, summarized) of each area, unit and topic drawn as a tree.
+
+    with_concepts: there are some, and few enough to be shown. bare: an area's units without parts, and topics straight in it without
+    any; above BARE_UNITS they are told by their number (summarized) instead of by name.
+    """
+    part_of = graph.links("PART_OF").select("source", "target").distinct()
+    seeds = graph.of("KnowledgeArea", "KnowledgeUnit", "Topic").select(F.col("key").alias("root"), F.col("key").alias("node"), "label")
+    parts = partonomy(seeds, reversed_edges(part_of)).filter("depth > 0").join(graph.nodes.select(F.col("key").alias("node"), F.col("label").alias("kind")), "node")
+    n = lambda kind, name: F.count_if(F.col("kind") == kind).alias(name)
+    counts = parts.groupBy("root").agg(n("KnowledgeUnit", "units"), n("Topic", "topics"), n("Concept", "concepts"))
+    shown = seeds.select("root", "label").join(counts, "root", "left").na.fill(0, ["units", "topics", "concepts"])
+    shown = shown.withColumn("with_concepts", F.col("concepts").between(1, TREE_CONCEPTS))
+    inner = part_of.select(F.col("target").alias("node")).distinct()
+    empty = parts.filter("depth = 1").join(inner, "node", "left_anti").select("root", "kind")
+    bare = empty.join(shown.filter("label = 'KnowledgeArea'").select("root", "with_concepts"), "root").filter("kind <> 'Concept' OR with_concepts").groupBy("root").agg(F.count("*").alias("bare"))
+    out = shown.join(bare, "root", "left").na.fill(0, ["bare"])
+    return out.select(F.col("root").alias("key"), "units", "topics", "concepts", "with_concepts", "bare", F.when(F.col("bare") > BARE_UNITS, F.col("bare")).otherwise(0).alias("summarized"))
+
+
+def overview_ring(overview: DataFrame) -> DataFrame:
+    """(key, part, place, filled, told) of an overview (part, place, key, topics, concepts): areas stand on a ring, those with topics filled and told by their
+    numbers; courses stand in a grid, by row."""
+    filled = F.coalesce(F.col("topics") > 0, F.lit(False))
+    some = lambda c, one: F.concat(F.col(c).cast("string"), F.lit(" " + one), F.when(F.col(c) == 1, "").otherwise("s"))
+    return overview.select("key", "part", "place", filled.alias("filled"), F.when(filled, F.concat_ws(" · ", some("topics", "tema"), some("concepts", "concepto"))).alias("told"))
+
+
 def clusters(graph: Graph) -> DataFrame:
     """(key, type, direction, n, clustered): a node's neighbours by type and direction; drawn as one cluster above CLUSTER."""
     edges = graph.edges.filter("type <> 'WAS_DERIVED_FROM'")

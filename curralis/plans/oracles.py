@@ -332,9 +332,46 @@ ORACLES["review_adjudicated"] = """WITH s AS (SELECT p_brand AS syllabus, CASE W
 ORACLES["notion_choices"] = f"SELECT syllabus, global_id, global_id || ' · ' || arg_min(p_name, entry_id) AS choice FROM {_GOLD} GROUP BY syllabus, global_id"
 ORACLES["kinds_of"] = with_graph(""" SELECT root, role, key, CAST(row_number() OVER (PARTITION BY root, role ORDER BY name_es NULLS LAST, key) AS INTEGER) AS place
     FROM (SELECT source AS root, 'general' AS role, target AS key FROM edges WHERE type = 'SPECIALIZES' UNION ALL SELECT target, 'kind', source FROM edges WHERE type = 'SPECIALIZES') JOIN nodes USING (key)""")
-_from5 = "SELECT key, key, 0 FROM nodes WHERE label = 'Concept' AND key LIKE '%5'"
-ORACLES["kinds_levels"] = with_graph(_closure("f", _from5, "SPECIALIZES", 99) + _closure("b", _from5, "SPECIALIZES", 99, back=True) + " SELECT root, node AS key, -depth AS level FROM f UNION ALL SELECT root, node, depth FROM b WHERE depth > 0")
+ORACLES["kinds_levels"] = with_graph(_closure("f", _all("Concept"), "SPECIALIZES", 99) + _closure("b", _all("Concept"), "SPECIALIZES", 99, back=True) + " SELECT root, node AS key, -depth AS level FROM f UNION ALL SELECT root, node, depth FROM b WHERE depth > 0")
 ORACLES["lens_classes"] = with_graph(""" SELECT lens, count(*) AS n FROM nodes JOIN (VALUES ('prerequisites', 'Concept'), ('kinds', 'Concept'), ('courses', 'Course'), ('location', 'KnowledgeUnit Topic Concept'), ('contents', 'KnowledgeArea KnowledgeUnit Topic'),
     ('path', 'KnowledgeArea KnowledgeUnit Topic Concept Course'), ('resources', 'KnowledgeArea KnowledgeUnit Topic Concept Course'), ('neighborhood', 'KnowledgeArea KnowledgeUnit Topic Concept Course LearningResource ResourceType')) v(lens, classes)
     ON list_contains(string_split(classes, ' '), label) GROUP BY lens""")
 ORACLES["node_connections"] = with_graph(" SELECT key, count(*) AS n FROM (SELECT source AS key FROM edges WHERE type <> 'WAS_DERIVED_FROM' UNION ALL SELECT target FROM edges WHERE type <> 'WAS_DERIVED_FROM') GROUP BY key")
+
+
+def _loose(x: str) -> str:
+    return f"array_to_string(list_filter(list_transform(string_split(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: regexp_replace(w, 's$', '')), lambda w: w <> ''), ' ')"
+
+
+_LABEL, _ALIAS = "p_name || ' ' || p_size", "p_type || ' ' || p_brand || ' ' || p_size"
+ORACLES["ruled_notions"] = f"""WITH RECURSIVE names AS (SELECT p_partkey AS row_no, {_loose(_LABEL)} AS name FROM part WHERE p_size % 10 <> 1
+        UNION SELECT p_partkey, {_loose(_ALIAS)} FROM part WHERE p_size % 10 <> 0 AND NOT (p_size % 10 = 1 AND {_loose(_ALIAS)} = {_loose(_LABEL)})),
+    firsts AS (SELECT name, min(row_no) AS f FROM names GROUP BY name), pairs AS (SELECT row_no AS a, f AS b FROM names JOIN firsts USING (name) UNION SELECT p_partkey, p_partkey % 7 + 1 FROM part WHERE p_size = 50 UNION SELECT p_partkey, p_partkey FROM part),
+    both_ AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach(a, b) AS (SELECT a, b FROM both_ UNION SELECT r.a, e.b FROM reach r JOIN both_ e ON e.a = r.b), comp AS (SELECT a AS row_no, min(b) AS c FROM reach GROUP BY a)
+    SELECT row_no, 'G-' || CASE WHEN n < 10000 THEN lpad(CAST(n AS VARCHAR), 4, '0') ELSE CAST(n AS VARCHAR) END AS global_id FROM (SELECT row_no, dense_rank() OVER (ORDER BY c) AS n FROM comp)"""
+ORACLES["loose_names"] = f"""SELECT p_partkey, {_loose("p_type || ' ' || p_brand")} AS name,
+    array_to_string(list_transform(string_split(p_type || 's', ' '), lambda w: CASE WHEN lower(w) LIKE '%es' AND length(w) > 3 AND substr(lower(w), -3, 1) IN ('l', 'n', 'r', 'd', 'y') THEN substr(w, 1, length(w) - 2)
+        WHEN lower(w) LIKE '%s' AND length(w) > 3 AND substr(lower(w), -2, 1) IN ('a', 'e', 'i', 'o', 'u') THEN substr(w, 1, length(w) - 1) ELSE w END), ' ') || ' (de) ' || p_name AS head FROM part"""
+ORACLES["annotation_problems"] = """WITH r AS (SELECT p_size % 2 AS file, CAST(p_partkey AS VARCHAR) AS id, p_size, CASE WHEN p_size % 4 = 0 THEN 'tema' WHEN p_size = 7 THEN 'otro' ELSE 'concepto' END AS tipo,
+        CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey - p_size % 30 AS VARCHAR) ELSE '' END AS up, CASE p_size % 5 WHEN 0 THEN 'q' WHEN 1 THEN 'n' ELSE '' END AS nota FROM part),
+    w AS (SELECT r.*, q.tipo AS of FROM r LEFT JOIN r q ON q.file = r.file AND q.id = r.up AND q.p_size <> 50 WHERE r.p_size <> 50)
+    SELECT CAST(file AS BIGINT) AS file, id, problem FROM (SELECT file, id, 'fields=8' AS problem FROM r WHERE p_size = 50 UNION ALL SELECT file, id, 'tipo=otro' FROM w WHERE tipo = 'otro' UNION ALL SELECT file, id, 'nivel=' FROM w WHERE p_size = 11
+      UNION ALL SELECT file, id, 'seccion=x' FROM w WHERE p_size = 13 UNION ALL SELECT file, id, 'quoted note' FROM w WHERE nota = 'q' UNION ALL SELECT file, id, 'no such parent' FROM w WHERE up <> '' AND of IS NULL
+      UNION ALL SELECT file, id, 'parent is no topic' FROM w WHERE up <> '' AND of <> 'tema' UNION ALL SELECT file, id, 'topic with a parent' FROM w WHERE up <> '' AND tipo = 'tema'
+      UNION ALL SELECT file, id, 'concept without parent or note' FROM w WHERE up = '' AND tipo = 'concepto' AND nota = '')"""
+ORACLES["run_warnings"] = """WITH f AS (SELECT o_custkey, min(o_orderkey) AS first FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey),
+    n AS (SELECT o.o_custkey, first, count(*) AS before FROM orders o JOIN f USING (o_custkey) WHERE o_orderkey < first GROUP BY o.o_custkey, first)
+    SELECT 'late' AS warning, o_orderkey AS run_id, CAST(o.o_custkey AS VARCHAR) AS syllabus FROM orders o JOIN f USING (o_custkey) JOIN customer ON c_custkey = o.o_custkey WHERE o_orderkey > first
+    UNION ALL SELECT 'no test case', o_orderkey, CAST(o_custkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'F' AND o_custkey NOT IN (SELECT c_custkey FROM customer)
+    UNION ALL SELECT 'attempts', first, CAST(o_custkey AS VARCHAR) FROM n WHERE before >= 3 AND o_custkey IN (SELECT c_custkey FROM customer)
+    UNION ALL SELECT 'not run', NULL, CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"""
+ORACLES["run_verdict"] = f"""WITH p AS (SELECT sum(hits) / sum(proposed) AS precision FROM {_SCORED}), a AS (SELECT count(*) = 0 AS complete FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders))
+    SELECT precision, complete, CASE WHEN complete THEN precision >= 0.75 END AS passes, 'all' AS "of" FROM p, a UNION ALL SELECT precision, true, precision >= 0.75, 'run' FROM p"""
+ORACLES["tree_counts"] = with_graph(_closure("down", _all("KnowledgeArea", "KnowledgeUnit", "Topic"), "PART_OF", 3, back=True) + """,
+    c AS (SELECT n.key, n.label, count(*) FILTER (p.label = 'KnowledgeUnit') AS units, count(*) FILTER (p.label = 'Topic') AS topics, count(*) FILTER (p.label = 'Concept') AS concepts,
+        count(*) FILTER (d.depth = 1 AND p.label <> 'Concept' AND n.label = 'KnowledgeArea' AND p.key NOT IN (SELECT target FROM edges WHERE type = 'PART_OF')) AS bare
+      FROM nodes n JOIN down d ON d.root = n.key LEFT JOIN nodes p ON p.key = d.node AND d.depth > 0 WHERE n.label IN ('KnowledgeArea', 'KnowledgeUnit', 'Topic') GROUP BY n.key, n.label)
+    SELECT key, units, topics, concepts, concepts BETWEEN 1 AND 24 AS with_concepts, bare, CASE WHEN bare > 4 THEN bare ELSE 0 END AS summarized FROM c""")
+ORACLES["overview_ring"] = f"""SELECT key, part, place, coalesce(topics > 0, false) AS filled, CASE WHEN topics > 0 THEN topics || CASE WHEN topics = 1 THEN ' tema · ' ELSE ' temas · ' END || concepts || CASE WHEN concepts = 1 THEN ' concepto' ELSE ' conceptos' END END AS told
+    FROM ({ORACLES['nav_overview']})"""
+ORACLES["content_digests"] = "SELECT doc_id, substr(sha256(text), 1, 16) AS digest FROM documents"
