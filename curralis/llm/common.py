@@ -42,16 +42,17 @@ def lean(name: str, task):
         for other, table in _held.items():
             if other != name:
                 table.clear()
-        _trim()
+        trim()
         try:
             yield from task(batches)
         finally:
-            _trim()
+            trim()
 
     return run
 
 
-def _trim() -> None:
+def trim() -> None:
+    """Gives this process's free memory back to the system."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

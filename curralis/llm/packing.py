@@ -20,7 +20,7 @@ import re
 import unicodedata
 import zlib
 from array import array
-from itertools import chain, filterfalse
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +30,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from curralis.llm.common import holds, lean, written
+from curralis.llm.common import holds, lean, trim, written
 
 #: Most words that a worker's table holds before it starts anew.
 TABLE = 600_000
 #: A length's pieces are ranked in so many parts, so that one length may hold most of the pieces.
 SALTS = 256
+#: Where ids are kept, so many rows are tokenised at once, and free memory goes back after them: the executor holds their ids too.
+PART = 250
 _words: dict[str, WordTable] = holds("packing", {})
 
 
+class _Met:
+    """Which words came before, by their hashes in a table of fixed size. A word that comes once in a while needs no room in a worker's table;
+    one that passes for another by its hash only takes room."""
+
+    def __init__(self, size: int = 1 << 22):
+        self.seen = np.zeros(size, bool)
+
+    def before(self, words: list[str]) -> np.ndarray:
+        """Whether each word came before; from now on these have."""
+        at = np.fromiter(map(hash, words), np.int64, len(words)) & (len(self.seen) - 1)
+        out = self.seen[at]
+        self.seen[at] = True
+        return out
+
+
 class _Merges:
     """Token ids of a word of a lower-cased BPE with word ends, computed by tiktoken's merge loop instead of the library's.
 
@@ -71,6 +88,7 @@ class _Merges:
             raise ValueError("two merges give the same token")
         self.encode = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.ids, self.limit, self.table = np.array([vocab[n] for n in names], np.uint32), limit, {"\n": self.NONE}
+        self.met = _Met()
         known = [chr(c) for c in range(33, ord(self.SURE))]
         letters, numbers = ("".join(re.escape(c) for c in known if unicodedata.category(c)[0] == x) for x in "LN")
         self.split = re.compile(self.PATTERN.replace("\\p{L}", letters).replace("\\p{N}", numbers) + "|\n").findall
@@ -98,11 +116,13 @@ class _Merges:
         pieces = self.split("\n".join([*words, ""]).lower())  # the line break ends a word
         if new := list(set(pieces) - self.table.keys()):
             if len(self.table) + len(new) > self.limit:
-                self.table = {"\n": self.NONE}
+                self.table, self.met = {"\n": self.NONE}, _Met()
                 new = list(set(pieces) - self.table.keys())
             found = [self.encode(q.encode() + self.END) for q in new]
             self.table.update(zip(new, _cut(self.ids[np.fromiter(chain.from_iterable(found), np.int64)], np.cumsum(np.fromiter(map(len, found), np.int64, len(found))))))
         flat = np.frombuffer(b"".join(map(self.table.__getitem__, pieces)), np.uint32)
+        for q in compress(new, ~self.met.before(new)):
+            del self.table[q]
         real = flat != 0xFFFFFFFF
         return _cut(flat[real], np.cumsum(real)[~real])
 
@@ -120,26 +140,38 @@ class WordTable:
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.merges = _Merges.of(self.tokenizer, limit)
         self.table: dict[str, bytes] = {}
+        self.met = _Met()
 
-    def _learn(self, words: list[str]) -> None:
-        if self.merges:
-            sure = list(filter(self.merges.sure, words))
-            self.table.update(zip(sure, self.merges.ids_of(sure)))
-            words = list(filterfalse(self.merges.sure, words)) if len(sure) < len(words) else []
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            self.table[w] = array("I", e.ids).tobytes()
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """The ids of each of these words, which the table doesn't hold."""
+        if not self.merges:
+            return self._by_library(words)
+        sure = list(map(self.merges.sure, words))
+        if all(sure):
+            return self.merges.ids_of(words)
+        here, there = iter(self.merges.ids_of(list(compress(words, sure)))), iter(self._by_library([w for w, s in zip(words, sure) if not s]))
+        return [next(here if s else there) for s in sure]
+
+    def _by_library(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts in a row, and where each text's begin and the last one's end. Words meet the table once a batch."""
+        """All ids of the texts in a row, and where each text's begin and the last one's end. Words meet the table once a batch; it
+        keeps those that came before or come twice in the batch."""
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         found = lists.flatten().dictionary_encode()
         words, at = found.dictionary.to_pylist(), found.indices.to_numpy()
-        if new := list(filterfalse(self.table.__contains__, words)):
-            if len(self.table) + len(new) > self.limit:
+        ids = list(map(self.table.get, words))
+        if new := [k for k, held in enumerate(ids) if held is None]:
+            missing = [words[k] for k in new]
+            learnt = self._learn(missing)
+            keep = self.met.before(missing) | (np.bincount(at, minlength=len(words))[new] > 1)
+            if len(self.table) + int(keep.sum()) > self.limit:
                 # begins anew with the words met just now: frequent ones are among them
-                self.table = {w: held for w in words if (held := self.table.get(w)) is not None}
-            self._learn(new)
-        ids = list(map(self.table.__getitem__, words))
+                self.table, self.met = {w: held for w, held in zip(words, ids) if held is not None}, _Met()
+            self.table.update(compress(zip(missing, learnt), keep))
+            for k, held in zip(new, learnt):
+                ids[k] = held
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         ids, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
         each = sizes[at]
@@ -259,6 +291,14 @@ class Plan:
         return self.sequence[k] + n // self.per[k], self.offset[k] + n % self.per[k] * lengths
 
 
+def parts(batches):
+    """The same rows in batches of at most PART; what one of them took is given back before the next."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PART):
+            yield batch.slice(at, PART)
+            trim()
+
+
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, keep_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, and ids if they are kept) of the tokenised documents, each closed by end_id."""
     end = array("I", [end_id]).tobytes()
@@ -266,7 +306,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, keep_ids: boo
 
     def task(batches):
         tool = words_of(path)
-        for batch in batches:
+        for batch in parts(batches) if keep_ids else batches:
             rows = []
             ids, ends = tool.encode_all(batch.column(1))
             for doc_id, start, stop in zip(batch.column(0).to_pylist(), ends.tolist(), ends[1:].tolist()):

@@ -414,6 +414,25 @@ def test_words_equal_the_library():
     assert other is None  # another kind of tokenizer is left to the library
 
 
+def test_words_that_come_once_take_no_room():
+    """The tables of all workers and the JVM share an executor's memory: most distinct words of a corpus come once in a while."""
+    tool = packing.WordTable(WORDS)
+    tool.encode_many([f"common w{k}x common" for k in range(2000)])
+    assert set(tool.table) == {"common"}
+    texts = [f"common w{k}x z{k}y" for k in range(1990, 2010)]
+    for t, ids in zip(texts, tool.encode_many(texts)):
+        assert np.frombuffer(ids, np.uint32).tolist() == tool.tokenizer.encode(t, add_special_tokens=False).ids
+    # two words may share a hash, so that a few others may be there
+    assert {"common", *(f"w{k}x" for k in range(1990, 2000))} <= tool.table.keys() and len(tool.table) < 20 and len(tool.merges.table) < 100
+
+
+def test_kept_ids_pass_in_small_parts():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1100)), pa.array([str(k) for k in range(1100)])], names=["doc_id", "text"])
+    got = list(packing.parts([batch, batch.slice(0, 0), batch.slice(5, 3)]))
+    assert max(b.num_rows for b in got) <= packing.PART
+    assert [k for b in got for k in b.column(0).to_pylist()] == [*range(1100), 5, 6, 7]
+
+
 def test_pieces_equal_the_library():
     rng, tool = random.Random(3), sentencepiece_codec.Codec(PIECES, limit=60)
     for _ in range(3000):
