@@ -120,6 +120,13 @@ def test_components(spark, monkeypatch, one_task):
     assert {tuple(r) for r in components.connected(both).collect()} == {(5, 4), (4, 4), (9, 4), (2, 2), (7, 2)}
 
 
+@pytest.mark.parametrize("one_task", [500_000, 0])
+def test_a_node_between_cycles_is_on_none(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "z"), ("z", "c"), ("c", "d"), ("d", "c"), ("z", "y"), ("y", "c")], "source string, target string")
+    assert {tuple(r) for r in components.strongly_connected(edges).collect()} == {("a", "b"), ("b", "b"), ("c", "d"), ("d", "d")}
+
+
 def test_validation_reports_everything(spark, graph):
     row = lambda key, label, locator=None: (key, label, "institutional", key, None, None, locator, None)
     nodes = spark.createDataFrame([row("n1", "Concept"), row("n2", "LearningResource"), row("n3", "LearningResource", "ftp://x"), row("n4", "Concept")], NODES)
