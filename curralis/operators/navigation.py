@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from curralis.functions.text import fold, tokens
 from curralis.operators.closure import bfs, partonomy, reversed_edges
-from curralis.plans.lineage import settled
+from curralis.plans.lineage import counted, settled
 from curralis.schema import LEVELS, MAX_NEIGHBORS, MAX_RESULTS, MAX_SECOND, TOP_LEVEL, Graph
 
 DERIVED_FROM = "WAS_DERIVED_FROM"
@@ -176,6 +176,8 @@ STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if
 
 #: Characters by which words of a search meet those of the index.
 HEAD = 4
+#: Up to so many (query, word) pairs, a counted size, the queries' words are sent to where the index is.
+FEW_WORDS = 10_000
 
 
 def search_index(graph: Graph) -> DataFrame:
@@ -192,7 +194,9 @@ def search(graph: Graph, queries: DataFrame, limit: int = MAX_RESULTS) -> DataFr
     index word stands under each of its first HEAD beginnings, so that this is a join on equality.
     """
     terms = queries.select("query", F.explode(F.array_distinct(tokens(fold(F.col("query"))))).alias("word"))
-    terms = terms.withColumn("optional", F.col("word").isin(*STOP_WORDS))
+    terms, n = counted(terms.withColumn("optional", F.col("word").isin(*STOP_WORDS)))
+    # the index is many times the nodes' files, by whose size it would be sent to the driver and every executor
+    terms = F.broadcast(terms) if n <= FEW_WORDS else terms.hint("merge")
     needed = terms.filter("not optional").groupBy("query").agg(F.count("*").alias("needed"))
     index = search_index(graph)
     heads = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(HEAD)), lambda n: F.substring("token", F.lit(1), n)))
