@@ -122,25 +122,33 @@ def _sides(graph: Graph) -> DataFrame:
     return out.unionByName(edges.select(F.col("target").alias("node"), F.col("source").alias("other"), F.lit(1).alias("direction"), "type"))
 
 
-def _capped(graph: Graph, rows: DataFrame, by: list[str], limit: int) -> DataFrame:
-    """The first neighbours (other) of each group, outgoing first, then by type, name and key."""
-    each = rows.groupBy(*by, "other").agg(F.min("direction").alias("direction"), F.min("type").alias("type"))
-    named = each.join(graph.nodes.select(F.col("key").alias("other"), "name_es"), "other")
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy("direction", "type", F.col("name_es").asc_nulls_last(), "other"))
-    return named.withColumn("rank", rank).filter(F.col("rank") <= limit)
+def _first(graph: Graph, rows: DataFrame, limit: int) -> DataFrame:
+    """(node, other, direction, type, rank): the first neighbours of each node in rows of _sides(), outgoing first, then by type, name and key."""
+    each = rows.groupBy("node", "other").agg(F.min("direction").alias("direction"), F.min("type").alias("type"))
+    named = each.join(graph.nodes.select(F.col("key").alias("other"), "name_es").hint("merge"), "other")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("direction", "type", F.col("name_es").asc_nulls_last(), "other"))
+    return named.withColumn("rank", rank).filter(F.col("rank") <= limit).select("node", "other", "direction", "type", "rank")
 
 
 def node_neighbours(graph: Graph, starts: DataFrame | None = None) -> DataFrame:
     """(root, key, direction, type, rank): the direct neighbours that node_detail shows."""
-    rows = roots(graph, starts, *LEVELS, *TOP_LEVEL[1:]).join(_sides(graph), "node")
-    return _capped(graph, rows, ["root"], MAX_NEIGHBORS).select("root", F.col("other").alias("key"), "direction", "type", "rank")
+    rows = roots(graph, starts, *LEVELS, *TOP_LEVEL[1:]).select("node").join(_sides(graph), "node")
+    return _first(graph, rows, MAX_NEIGHBORS).select(F.col("node").alias("root"), F.col("other").alias("key"), "direction", "type", "rank")
 
 
 def second_ring(graph: Graph, direct: DataFrame) -> DataFrame:
-    """(root, via, key): for each direct neighbour its first neighbours that are neither the root nor direct."""
-    d = direct.select("root", F.col("key").alias("node"))
-    rows = d.join(_sides(graph), "node").filter("other <> root").join(d.select("root", F.col("node").alias("other")), ["root", "other"], "left_anti")
-    return _capped(graph, rows, ["root", "node"], MAX_SECOND).select("root", F.col("node").alias("via"), F.col("other").alias("key"))
+    """(root, via, key): for each direct neighbour (direct is of node_neighbours, so at most MAX_NEIGHBORS of a root) its first neighbours that are neither the root nor direct.
+
+    A node's neighbours stand in one order for all roots, and at most the root and its direct ones are passed over, so that
+    the first MAX_SECOND + 1 + MAX_NEIGHBORS of each node are enough: a node with many neighbours isn't met by each of them with all others.
+    """
+    d = settled(direct.select("root", F.col("key").alias("node")))
+    first = _first(graph, _sides(graph).join(d.select("node").distinct().hint("merge"), "node", "left_semi"), MAX_SECOND + 1 + MAX_NEIGHBORS)
+    queues = settled(first.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("rank", "other"))).alias("queue")))
+    passed = d.groupBy("root").agg(F.collect_list("node").alias("passed"))
+    rows = d.join(queues.hint("merge"), "node").join(passed.hint("merge"), "root")
+    kept = F.filter("queue", lambda q: (q["other"] != F.col("root")) & ~F.array_contains("passed", q["other"]))
+    return rows.select("root", F.col("node").alias("via"), F.explode(F.slice(kept, 1, MAX_SECOND)).alias("q")).select("root", "via", F.col("q.other").alias("key"))
 
 
 def node_detail(graph: Graph, starts: DataFrame | None = None) -> DataFrame:

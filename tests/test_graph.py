@@ -94,6 +94,31 @@ def test_specializations_overview_detail(spark, graph):
     assert navigation.node_detail(crowd, start(spark, "topic1")).filter("key = 'topic1'").first().more_neighbors
 
 
+def shuffled(spark, frame):
+    """Bytes that executors wrote to shuffles while the frame that frame() gives was made and read."""
+    import time
+
+    written = lambda: time.sleep(1) or spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    frame().write.format("noop").mode("overwrite").save()
+    return written() - before
+
+
+def star(spark, n):
+    return build(spark, {"hub": "Topic"} | {f"p{i:05}": "Concept" for i in range(n)}, [("PART_OF", f"p{i:05}", "hub") for i in range(n)])
+
+
+def test_neighbours_of_a_hub_are_not_met_by_each_other(spark):
+    """The work grows with the edges, not with the square of a hub's; which neighbours are passed over is that of the root."""
+    small, large = (star(spark, n) for n in (1000, 4000))
+    for f in (lambda g: navigation.second_ring(g, navigation.node_neighbours(g)), navigation.node_detail):
+        assert shuffled(spark, lambda: f(large)) < 7 * shuffled(spark, lambda: f(small))
+    ring = {(r.via, r.key) for r in navigation.second_ring(small, navigation.node_neighbours(small, start(spark, "p00002"))).collect()}
+    assert ring == {("hub", f"p{i:05}") for i in (0, 1, 3, 4, 5)}
+    more = {(r.key, r.more_neighbors) for r in navigation.node_detail(small, start(spark, "p00002")).collect()}
+    assert more == {("hub", True), *((f"p{i:05}", False) for i in range(6))}
+
+
 def test_search(spark):
     g = build(spark, {"t1": "Topic", "t2": "Topic"}, [])
     g = Graph(g.nodes.withColumn("name_es", F.when(F.col("key") == "t1", "Árboles y grafos").otherwise("Programación orientada a objetos")), g.edges)
