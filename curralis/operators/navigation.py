@@ -152,15 +152,29 @@ def second_ring(graph: Graph, direct: DataFrame) -> DataFrame:
 
 
 def node_detail(graph: Graph, starts: DataFrame | None = None) -> DataFrame:
-    """(root, key, more_neighbors, description): the node, its neighbours and theirs; whether each has others that are not shown."""
-    direct = node_neighbours(graph, starts)
+    """(root, key, more_neighbors, description): the node, its neighbours and theirs; whether each has others that are not shown.
+
+    A root shows at most 1 + MAX_NEIGHBORS * (1 + MAX_SECOND) nodes: a node with as many neighbours has one that isn't shown, so only
+    the neighbours of nodes with fewer are looked at.
+    """
+    direct = settled(node_neighbours(graph, starts))
     second = second_ring(graph, direct)
     seeds = roots(graph, starts, *LEVELS, *TOP_LEVEL[1:]).select("root", F.col("root").alias("key"))
-    shown = seeds.union(direct.select("root", "key")).union(second.select("root", "key")).distinct()
-    beyond = shown.withColumnRenamed("key", "node").join(_sides(graph), "node").select("root", "node", "other").distinct()
-    beyond = beyond.join(shown.withColumnRenamed("key", "other"), ["root", "other"], "left_anti").select("root", F.col("node").alias("key")).distinct()
-    out = shown.join(beyond.withColumn("more", F.lit(True)), ["root", "key"], "left").join(graph.nodes.select("key", "description"), "key")
-    return out.select("root", "key", F.coalesce("more", F.lit(False)).alias("more_neighbors"), F.when(F.col("root") == F.col("key"), F.col("description")).alias("description"))
+    shown = settled(seeds.union(direct.select("root", "key")).union(second.select("root", "key")).distinct())
+    most = 1 + MAX_NEIGHBORS * (1 + MAX_SECOND)
+    sides = _sides(graph).select(F.col("node").alias("key"), "other").distinct()
+    if starts is not None:
+        sides = sides.join(shown.select("key").distinct(), "key", "left_semi")
+    many = sides.groupBy("key").agg(F.count("*").alias("n")).withColumn("many", F.col("n") >= most)
+    some = sides.join(many.filter("not many").select("key").hint("merge"), "key", "left_semi").groupBy("key").agg(F.collect_list("other").alias("others"))
+    around = settled(many.select("key", "many").join(some.hint("merge"), "key", "left"))
+    each = shown.join(around.hint("merge"), "key", "left").groupBy("root").agg(F.collect_list(F.struct("key", "many", "others")).alias("all"))
+    each = each.withColumn("keys", F.col("all")["key"])
+    beyond = lambda x: F.coalesce(x["many"] | (F.size(F.array_except(x["others"], F.col("keys"))) > 0), F.lit(False))
+    out = each.select("root", F.explode(F.transform("all", lambda x: F.struct(x["key"].alias("key"), beyond(x).alias("more")))).alias("x")).select("root", "x.key", "x.more")
+    texts = graph.nodes.filter("description IS NOT NULL").select(F.col("key").alias("root"), "description")
+    out = out.join(texts, "root", "left").join(graph.nodes.select("key"), "key", "left_semi")
+    return out.select("root", "key", F.col("more").alias("more_neighbors"), F.when(F.col("root") == F.col("key"), F.col("description")).alias("description"))
 
 
 def overview(graph: Graph) -> DataFrame:
