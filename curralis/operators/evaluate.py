@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from curralis.functions.text import normalize_label
 from curralis.operators.annotation import numbered
 from curralis.operators.components import connected
+from curralis.plans.lineage import settled
 
 THRESHOLD, MAX_ATTEMPTS = 0.75, 3
 MANDATORY = "obligatoria"
@@ -47,9 +48,29 @@ def greedy_match(items: DataFrame, gold: DataFrame) -> DataFrame:
 
     Among an item's free entries the one with exactly its label wins, then one of its kind, then the smallest id. The
     order matters, so each run is matched by one task; a run is one document's output, which is small.
+
+    The items before the nth of a run use up at most n - 1 entries, so that the first n of those that it may match are enough: an
+    item isn't met by every entry of its name. Entries with its label come first; of the others, which share only the notion's
+    names, as many again are kept of each notion, as some of them may have its label.
     """
-    pairs = items.withColumn("name", normalize_label(F.col("label"))).join(candidates(gold).withColumnRenamed("kind", "gold_kind"), ["syllabus", "name"])
-    pairs = pairs.select("run_id", "syllabus", "ordinal", "entry_id", (F.col("own") != F.col("name")).alias("far"), (F.col("kind") != F.col("gold_kind")).alias("other")).distinct()
+    place = F.dense_rank().over(Window.partitionBy("run_id", "syllabus").orderBy("ordinal"))
+    named = settled(items.select("run_id", "syllabus", "ordinal", "kind", normalize_label(F.col("label")).alias("name"), place.alias("place")))
+    most = named.agg(F.max("place")).first()[0] or 0
+    asked = settled(named.select("syllabus", "name", "kind").distinct())
+    names = asked.select("syllabus", "name").distinct()
+    own = F.coalesce(normalize_label(F.col("label")), F.lit(""))
+    entries = settled(gold.select("syllabus", "entry_id", "global_id", F.col("kind").alias("gold_kind"), own.alias("own")))
+
+    def first(rows, n, *by):
+        return rows.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("entry_id"))).filter(F.col("n") <= n).drop("n")
+
+    near = entries.select("syllabus", F.col("own").alias("name"), "gold_kind", "entry_id").filter("name <> ''").distinct().join(names, ["syllabus", "name"], "left_semi")
+    pool = first(entries, 2 * most, "syllabus", "global_id", "gold_kind")
+    far = pool.join(gold_names(gold), "global_id").filter("own <> name").select("syllabus", "name", "gold_kind", "entry_id").join(names, ["syllabus", "name"], "left_semi").distinct()
+    rows = [first(r, most, "syllabus", "name", "gold_kind").withColumn("far", F.lit(is_far)) for r, is_far in ((near, False), (far, True))]
+    choice = F.struct("far", (F.col("kind") != F.col("gold_kind")).alias("other"), "entry_id")
+    best = rows[0].unionByName(rows[1]).join(asked, ["syllabus", "name"]).groupBy("syllabus", "name", "kind").agg(F.slice(F.array_sort(F.collect_list(choice)), 1, max(most, 1)).alias("best"))
+    pairs = named.join(best, ["syllabus", "name", "kind"]).select("run_id", "syllabus", "ordinal", F.explode(F.slice("best", F.lit(1), F.col("place"))).alias("c")).select("run_id", "syllabus", "ordinal", "c.entry_id", "c.far", "c.other").distinct()
     schema = pa.schema([("run_id", pa.int64()), ("syllabus", pa.string()), ("ordinal", pa.int64()), ("entry_id", pa.string())])
 
     def match(table: pa.Table) -> pa.Table:

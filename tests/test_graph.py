@@ -221,6 +221,27 @@ def test_evaluation(spark):
     assert (t.median_ms, t.p95_ms, t.max_ms, t.passes) == (50.5, 95, 100, True)
 
 
+def test_greedy_matching_of_a_common_name(spark):
+    """Equal to the plain procedure over all pairs, and a name that all share doesn't make every item meet every entry."""
+    row = lambda i: ("s", f"e{i * 7 % 1000:04}", f"g{i % 3}", "tema" if i % 4 else "concepto", "obligatoria", ("one", "two", "three")[i % 5 % 3], ["shared"])
+    schema = "syllabus string, entry_id string, global_id string, kind string, level string, label string, aliases array<string>"
+    entries = [row(i) for i in range(120)]
+    asked = [(i // 9, "s", i, "n", ("one", "shared", "two", "none")[i * 5 % 7 % 4], "tema" if i % 2 else "concepto") for i in range(90)]
+    items = lambda rows: spark.createDataFrame(rows, "run_id long, syllabus string, ordinal long, node string, label string, kind string")
+    called = {g: {n for e in entries if e[2] == g for n in (e[5], *e[6])} for g in ("g0", "g1", "g2")}
+    expected, used = set(), set()
+    for run, _, ordinal, _, label, kind in asked:
+        free = [(e[5] != label, e[3] != kind, e[1]) for e in entries if label in called[e[2]] and (run, e[1]) not in used]
+        if free:
+            expected.add((run, ordinal, min(free)[2]))
+            used.add((run, min(free)[2]))
+    assert {(r.run_id, r.ordinal, r.entry_id) for r in evaluate.greedy_match(items(asked), spark.createDataFrame(entries, schema)).collect()} == expected
+    many = [(i // 4, "s", i, "n", "shared", "tema") for i in range(3000)]
+    gold = [("s", f"e{i:05}", f"g{i}", "tema", "obligatoria", "shared", []) for i in range(3000)]
+    size = lambda n: shuffled(spark, lambda: evaluate.greedy_match(items(many[:n]), spark.createDataFrame(gold[:n], schema)))
+    assert size(3000) < 7 * size(750)
+
+
 def test_readings(spark, graph):
     order = {r.key: r.step for r in readings.learning_order(graph, start(spark, "area")).collect()}
     assert order == {"c4": 1, "c5": 1, "c6": 1, "c3": 2, "c1": 3, "c2": 4}
