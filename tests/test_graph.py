@@ -270,6 +270,13 @@ def test_justified_stops_at_any_distance(spark):
     assert found == expected and found["n12"] == 13 and "other" not in found
 
 
+def test_justified_stops_through_hubs(spark, monkeypatch):
+    """The same steps where the nodes of the chain count as hubs."""
+    monkeypatch.setattr(readings, "HUB", 1)
+    monkeypatch.setattr(readings, "MAX_HUBS", 4)
+    test_justified_stops_at_any_distance(spark)
+
+
 def test_greedy_matching_takes_every_part(spark, monkeypatch):
     from curralis import catalogue
 
